@@ -23,9 +23,43 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from pagequarry.llm.bpe import decode, encode
+
+    path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = decode(encode(docs, path, pattern or public_tokenizers.PATTERN).select("doc_id", "ids"), path)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagequarry.llm.matroska import read_back, store_texts
+
+    back = read_back(store_texts(_table(spark, sf_dir, "documents")))
+    return back.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op7_byte_bpe": op7_byte_bpe,
     "op8_topk_search": op8_topk_search,
+    "op9_matroska": op9_matroska,
 }
 
 ORACLE_SQL: dict[str, str] = {
