@@ -23,6 +23,14 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagequarry.llm.langid import fit_on_documents, held_out, predict
+
+    docs = _table(spark, sf_dir, "documents")
+    found = predict(docs.select("doc_id", "text"), fit_on_documents(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -57,6 +65,7 @@ def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_topk_search": op8_topk_search,
     "op9_matroska": op9_matroska,
