@@ -63,12 +63,21 @@ def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from pagequarry.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), path or public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_topk_search": op8_topk_search,
     "op9_matroska": op9_matroska,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
