@@ -23,6 +23,14 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagequarry.llm.toxicity import fit, held_out, score
+
+    docs = _table(spark, sf_dir, "documents")
+    found = score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagequarry.llm.langid import fit_on_documents, held_out, predict
 
@@ -73,6 +81,7 @@ def op10_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> D
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_toxicity": op2_toxicity,
     "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_topk_search": op8_topk_search,
