@@ -31,6 +31,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagequarry.llm.phrase_dedup import remove_repeats
+
+    left = remove_repeats(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagequarry.llm.langid import fit_on_documents, held_out, predict
 
@@ -82,6 +89,7 @@ def op10_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> D
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_substring_dedup": op3_substring_dedup,
     "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_topk_search": op8_topk_search,
@@ -90,6 +98,24 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": """
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), p AS (
+            SELECT doc_id, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50
+        ), h AS (
+            SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM p JOIN d USING (doc_id)
+        ), f AS (
+            SELECT k, min(doc_id) AS first FROM h GROUP BY k
+        ), c AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM h JOIN f USING (k) WHERE first < doc_id
+        ), g AS (
+            SELECT doc_id, list(j) AS js, count(*) AS n FROM c GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+            sha256(array_to_string(CASE WHEN js IS NULL THEN w ELSE [x FOR x, j IN w IF NOT list_contains(js, j)] END, ' ')) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id)
+    """,
     "op8_topk_search": """
         WITH v AS (
             SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e
