@@ -38,6 +38,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagequarry.llm.pii import BASE, count, find, written
+
+    found = find(_table(spark, sf_dir, "documents"))
+    counts = [count("base", k).alias(f"n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(written("base").cast("binary"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagequarry.llm.langid import fit_on_documents, held_out, predict
 
@@ -90,6 +98,7 @@ QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_pii": op4_pii,
     "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_topk_search": op8_topk_search,
