@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 200_000
+MEMO = 700_000
 _ROWS = 512
 
 
@@ -71,24 +71,43 @@ class PerfectHash:
         return self.ids[s] if self.keys[s] == key else -1
 
 
-def merge(token: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
-    """Ids of a token by repeatedly merging the pair of least rank, the leftmost first."""
-    n = len(token)
-    after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(token[i : i + 2])) is not None]
+def merge(token: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a token by repeatedly merging the pair of least rank, the leftmost first.
+
+    A piece runs from its first byte to the next piece's; the heap holds rank and place of each pair
+    in one number, and a pair whose rank at its place has changed since is passed over.
+    """
+    n, rank = len(token), ranks.get
+    bits = n.bit_length()
+    mask = (1 << bits) - 1
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    now = [rank(token[i : i + 2], -1) for i in range(n - 1)]
+    now.append(-1)
+    heap = [r << bits | i for i, r in enumerate(now) if r >= 0]
     heapq.heapify(heap)
     while heap:
-        _, i, e = heapq.heappop(heap)
+        pair = heapq.heappop(heap)
+        i = pair & mask
+        if now[i] != pair >> bits:
+            continue
         j = after[i]
-        if not end[i] or j >= n or end[j] != e:
-            continue  # one side has been merged since
-        end[i], end[j], after[i] = e, 0, after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        for left, stop in ((before[i], e), (i, end[after[i]] if after[i] < n else -1)):
-            if left >= 0 and stop > 0 and stop - left <= longest and (r := ranks.get(token[left:stop])) is not None:
-                heapq.heappush(heap, (r, left, stop))
-    return [ranks[token[i : end[i]]] for i in range(n) if end[i]]
+        k = after[i] = after[j]
+        now[j] = now[i] = -1
+        if k < n:
+            before[k] = i
+            r = now[i] = rank(token[i : after[k]], -1)
+            if r >= 0:
+                heapq.heappush(heap, r << bits | i)
+        p = before[i]
+        if p >= 0:
+            r = now[p] = rank(token[p:k], -1)
+            if r >= 0:
+                heapq.heappush(heap, r << bits | p)
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[token[i : after[i]]])
+        i = after[i]
+    return out
 
 
 class Encoder:
@@ -96,13 +115,12 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], table: PerfectHash, pattern: str):
         self.ranks, self.table, self.split = ranks, table, regex.compile(pattern).findall
-        self.longest = max(map(len, ranks), default=0)
         self.memo = _Memo(self)
 
     def token(self, token: str) -> tuple[int, ...]:
         raw = token.encode()
         whole = self.table.get(raw)
-        return (whole,) if whole >= 0 else tuple(merge(raw, self.ranks, self.longest))
+        return (whole,) if whole >= 0 else tuple(merge(raw, self.ranks))
 
     def encode(self, text: str) -> list[int]:
         if len(self.memo) > MEMO:
@@ -122,6 +140,18 @@ class _Memo(dict):
         return ids
 
 
+_encoders: dict[tuple, Encoder] = {}
+
+
+def _kept_encoder(shared, name: str, pattern: str) -> Encoder:
+    """This worker process's encoder, whose memo serves one task after another."""
+    key = (name, pattern)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(*shared.value, pattern)
+    return _encoders[key]
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs`` with ``ids array<int>``, the ranks of ``text`` without special tokens.
 
@@ -129,10 +159,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     replaced); repeated rows give repeated rows; an empty table stays empty.
     """
     ranks = load_ranks(path)
+    name = xxhash.xxh3_128_hexdigest(b"".join(b"%d:%b " % (r, t) for t, r in sorted(ranks.items())))
     shared = docs.sparkSession.sparkContext.broadcast((ranks, PerfectHash(ranks)))
 
     def run(batches):
-        encoder = Encoder(*shared.value, pattern)
+        encoder = _kept_encoder(shared, name, pattern)
         for whole in batches:
             for at in range(0, whole.num_rows, _ROWS):
                 b = whole.slice(at, _ROWS)
