@@ -23,17 +23,18 @@ from pyspark.sql import functions as F
 from pagequarry.llm._runtime import cut
 
 LENGTH, OPEN, TINY_GAP, MERGED = 4096, 32, 16, 5
-_MEMO = 250_000
+_MEMO = 500_000
 _CUTTABLE = b".,!?;:%&*$#"
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 class WordTokens:
-    """Token ids of a text, chunk by chunk between white space, as the tokenizer gives for the whole.
+    """Token ids of texts, chunk by chunk between white space, as the tokenizer gives for the whole.
 
     The tokenizer drops white space and never merges across it, so chunks are independent. A memo of
-    bounded size serves repeated chunks; trailing ASCII punctuation after a Latin letter or digit is
-    a pre-token of its own and is looked up apart, so the memo holds few variants.
+    bounded size serves repeated chunks. Trailing ASCII punctuation after a Latin letter or digit is a
+    pre-token of its own and is looked up apart, so there are few variants; new chunks that are words
+    of Latin letters are encoded together, one pre-token each.
     """
 
     def __init__(self, path: str):
@@ -42,39 +43,53 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.chunks, self.cores = _Lookup(self._chunk), _Lookup(self._encode)
+        self.chunks: dict[bytes, tuple[int, ...]] = {}
+        self.cores: dict[bytes, tuple[int, ...]] = {}
 
-    def _encode(self, chunk: bytes) -> tuple[int, ...]:
-        return tuple(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids)
-
-    def _chunk(self, chunk: bytes) -> tuple[int, ...]:
+    def _parts(self, chunk: bytes) -> tuple[bytes, ...]:
         core = chunk.rstrip(_CUTTABLE)
         last = core[-2:].decode(errors="ignore")[-1:] if core else ""
         if not last or last > "ɏ" or not last.isalnum():
-            return self.cores[chunk]
-        if core.isascii():
-            core = core.lower()
+            return (chunk,)
         mark = chunk[len(core) :]
-        return self.cores[core] + (self.cores[mark] if mark else ())
-
-    def ids(self, text: str) -> np.ndarray:
+        core = core.lower() if core.isascii() else core
+        return (core, mark) if mark else (core,)
+
+    def _learn(self, new: set[bytes]) -> None:
+        parts = {c: self._parts(c) for c in new}
+        words, rest = [], []
+        for core in {p for ps in parts.values() for p in ps if p not in self.cores}:
+            text = core.decode()
+            (words if text.isalpha() and max(text) <= "ɏ" else rest).append((core, text))
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            got = self.tokenizer.encode(" ".join(t for _, t in some), add_special_tokens=False)
+            ids: list[list[int]] = [[] for _ in some]
+            for word, i in zip(got.word_ids, got.ids, strict=True):
+                ids[word].append(i)
+            self.cores.update((core, tuple(x)) for (core, _), x in zip(some, ids, strict=True))
+        for core, text in rest:
+            self.cores[core] = tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        for chunk, ps in parts.items():
+            self.chunks[chunk] = tuple(chain.from_iterable(self.cores[p] for p in ps)) if len(ps) > 1 else self.cores[ps[0]]
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
         for memo in (self.chunks, self.cores):
             if len(memo) > _MEMO:
                 memo.clear()
-        found = list(chain.from_iterable(map(self.chunks.__getitem__, text.encode().split())))
-        return np.array(found, "<u4")
+        split = [t.encode().split() for t in texts]
+        self._learn(set(chain.from_iterable(split)) - self.chunks.keys())
+        return [np.array(list(chain.from_iterable(map(self.chunks.__getitem__, s))), "<u4") for s in split]
+
 
+_tokenizers: dict[str, WordTokens] = {}
 
-class _Lookup(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
 
-    def __missing__(self, key: bytes):
-        out = self.make(key)
-        if len(key) < 64:
-            self[key] = out
-        return out
+def _kept_tokens(path: str) -> WordTokens:
+    """This worker process's tokens, whose memo serves one task after another."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokens(path)
+    return _tokenizers[path]
 
 
 class Packer:
@@ -133,7 +148,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = LE
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        words, packer = WordTokens(tokenizer_path), Packer(length, most_open)
+        words, packer = _kept_tokens(tokenizer_path), Packer(length, most_open)
         held: dict[int, list] = {}
 
         def rows(open_now, last):
@@ -154,8 +169,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = LE
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    packer.add(doc, np.append(words.ids(text or ""), np.uint32(end_id)))
+                texts = [t or "" for t in b.column("text").to_pylist()]
+                for doc, ids in zip(b.column("doc_id").to_pylist(), words.ids(texts), strict=True):
+                    packer.add(doc, np.append(ids, np.uint32(end_id)))
                 yield rows(packer.left_open(), False)
         yield rows(packer.left_open(), True)
 
