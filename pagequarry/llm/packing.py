@@ -8,6 +8,7 @@ left open at the end of the partitions is merged, a few partitions at a time.
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pagequarry.llm._runtime import cut
 
 LENGTH, OPEN, TINY_GAP, MERGED = 4096, 32, 16, 5
-_MEMO = 500_000
+_MEMO = 1_000_000
 _CUTTABLE = b".,!?;:%&*$#"
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -46,40 +47,54 @@ class WordTokens:
         self.chunks: dict[bytes, tuple[int, ...]] = {}
         self.cores: dict[bytes, tuple[int, ...]] = {}
 
-    def _parts(self, chunk: bytes) -> tuple[bytes, ...]:
-        core = chunk.rstrip(_CUTTABLE)
-        last = core[-2:].decode(errors="ignore")[-1:] if core else ""
-        if not last or last > "ɏ" or not last.isalnum():
-            return (chunk,)
-        mark = chunk[len(core) :]
-        core = core.lower() if core.isascii() else core
-        return (core, mark) if mark else (core,)
-
     def _learn(self, new: set[bytes]) -> None:
-        parts = {c: self._parts(c) for c in new}
+        cores, chunks = self.cores, self.chunks
+        parts, wanted = [], set()
+        for chunk in new:
+            core = chunk.rstrip(_CUTTABLE)
+            mark = chunk[len(core) :]
+            if core.isascii() and core[-1:].isalnum():
+                core = core.lower()
+            elif not core or not "0" <= (last := core[-2:].decode(errors="ignore")[-1:]) <= "ɏ" or not last.isalnum():
+                core, mark = chunk, b""
+            parts.append((chunk, core, mark))
+            if core not in cores:
+                wanted.add(core)
+            if mark and mark not in cores:
+                wanted.add(mark)
         words, rest = [], []
-        for core in {p for ps in parts.values() for p in ps if p not in self.cores}:
-            text = core.decode()
-            (words if text.isalpha() and max(text) <= "ɏ" else rest).append((core, text))
+        for core in wanted:
+            if core.isalpha():  # ASCII letters
+                words.append(core)
+            else:
+                text = core.decode()
+                (words if text.isalpha() and max(text) <= "ɏ" else rest).append(core)
         for at in range(0, len(words), 1000):
             some = words[at : at + 1000]
-            got = self.tokenizer.encode(" ".join(t for _, t in some), add_special_tokens=False)
+            got = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False)
             ids: list[list[int]] = [[] for _ in some]
             for word, i in zip(got.word_ids, got.ids, strict=True):
                 ids[word].append(i)
-            self.cores.update((core, tuple(x)) for (core, _), x in zip(some, ids, strict=True))
-        for core, text in rest:
-            self.cores[core] = tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        for chunk, ps in parts.items():
-            self.chunks[chunk] = tuple(chain.from_iterable(self.cores[p] for p in ps)) if len(ps) > 1 else self.cores[ps[0]]
+            cores.update(zip(some, map(tuple, ids), strict=True))
+        for core in rest:
+            cores[core] = tuple(self.tokenizer.encode(core.decode(), add_special_tokens=False).ids)
+        for chunk, core, mark in parts:
+            chunks[chunk] = cores[core] + cores[mark] if mark else cores[core]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         for memo in (self.chunks, self.cores):
             if len(memo) > _MEMO:
                 memo.clear()
         split = [t.encode().split() for t in texts]
-        self._learn(set(chain.from_iterable(split)) - self.chunks.keys())
-        return [np.array(list(chain.from_iterable(map(self.chunks.__getitem__, s))), "<u4") for s in split]
+        # The memo's many tuples hold no cycles; collecting them again and again would take most of the time.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            self._learn(set(chain.from_iterable(split)) - self.chunks.keys())
+            return [np.fromiter(chain.from_iterable(map(self.chunks.__getitem__, s)), "<u4") for s in split]
+        finally:
+            if collects:
+                gc.enable()
 
 
 _tokenizers: dict[str, WordTokens] = {}
