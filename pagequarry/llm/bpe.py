@@ -191,4 +191,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(raw, pa.binary())], [*b.schema.names, "decoded"])
 
     kept = encoded.drop("decoded")
-    return kept.mapInArrow(run, kept.select("*", F.lit(b"").alias("decoded")).schema)
+    return kept.mapInArrow(run, kept.select("*", F.lit(None).cast("binary").alias("decoded")).schema)

@@ -258,7 +258,7 @@ def read_back(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary()), pa.array(feats, pa.string()), pa.array(errors, pa.string())], [*b.schema.names, "payload", "feature", "error"])
 
     kept = media.drop("payload", "feature", "error")
-    return kept.mapInArrow(run, kept.select("*", F.lit(b"").alias("payload"), F.lit("").alias("feature"), F.lit(None).cast("string").alias("error")).schema)
+    return kept.mapInArrow(run, kept.select("*", F.lit(None).cast("binary").alias("payload"), F.lit(None).cast("string").alias("feature"), F.lit(None).cast("string").alias("error")).schema)
 
 
 def packet_table(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
