@@ -95,7 +95,8 @@ def ranked(entities: DataFrame, kind: str | None = None, least: float = 0.0, lim
 
 
 def statistics(entities: DataFrame) -> DataFrame:
-    return entities.groupBy("project", "entity_type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 2).alias("avg_confidence"))
+    """Counts and mean confidence by type; halves of a hundredth round up, whatever the order of the sum."""
+    return entities.groupBy("project", "entity_type").agg(F.count("*").alias("n"), F.round(F.avg("confidence").cast("decimal(18,9)"), 2).cast("double").alias("avg_confidence"))
 
 
 def confidence_bands(entities: DataFrame) -> DataFrame:

@@ -289,7 +289,7 @@ ORACLE_SQL: dict[str, str] = {
             AND NOT regexp_matches(lower(value), '{"|".join(rules.NOISE_WORDS)}') AS good
         FROM ({_VALUES})""",
     "entity_store": f"SELECT project, entity_type, normalized_value, value, confidence, frequency, context FROM ({_STORED})",
-    "entity_stats": f"SELECT project, entity_type, count(*) AS n, round(avg(confidence), 2) AS avg_confidence FROM ({_VALUES}) GROUP BY ALL",
+    "entity_stats": f"SELECT project, entity_type, count(*) AS n, CAST(round(CAST(avg(confidence) AS DECIMAL(18, 9)), 2) AS DOUBLE) AS avg_confidence FROM ({_VALUES}) GROUP BY ALL",
     "confidence_distribution": f"SELECT project, CAST(count_if(confidence >= 0.8) AS BIGINT) AS high, CAST(count_if(confidence >= 0.5) AS BIGINT) AS medium, count(*) AS low FROM ({_VALUES}) GROUP BY project",
     "entities_page": f"SELECT ord, value, confidence FROM ({_VALUES}) WHERE entity_type = 'product' AND confidence >= 0.1 ORDER BY confidence DESC, ord LIMIT 50 OFFSET 10",
     "entity_relations": f"{_RELATED} SELECT project, relation, count(*) AS n, CAST(sum(source) AS BIGINT) AS sources, CAST(sum(target) AS BIGINT) AS targets FROM r WHERE relation IS NOT NULL GROUP BY ALL",
