@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import gc
 import os
+import struct
 import zlib
 from bisect import bisect_left, insort
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -44,8 +44,9 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.chunks: dict[bytes, tuple[int, ...]] = {}
-        self.cores: dict[bytes, tuple[int, ...]] = {}
+        # Ids as little-endian 32-bit numbers, so that a text's ids are a join of bytes.
+        self.chunks: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
 
     def _learn(self, new: set[bytes]) -> None:
         cores, chunks = self.cores, self.chunks
@@ -75,9 +76,10 @@ class WordTokens:
             ids: list[list[int]] = [[] for _ in some]
             for word, i in zip(got.word_ids, got.ids, strict=True):
                 ids[word].append(i)
-            cores.update(zip(some, map(tuple, ids), strict=True))
+            cores.update((core, struct.pack(f"<{len(x)}I", *x)) for core, x in zip(some, ids, strict=True))
         for core in rest:
-            cores[core] = tuple(self.tokenizer.encode(core.decode(), add_special_tokens=False).ids)
+            x = self.tokenizer.encode(core.decode(), add_special_tokens=False).ids
+            cores[core] = struct.pack(f"<{len(x)}I", *x)
         for chunk, core, mark in parts:
             chunks[chunk] = cores[core] + cores[mark] if mark else cores[core]
 
@@ -86,12 +88,16 @@ class WordTokens:
             if len(memo) > _MEMO:
                 memo.clear()
         split = [t.encode().split() for t in texts]
-        # The memo's many tuples hold no cycles; collecting them again and again would take most of the time.
+        # The memo's many objects hold no cycles; collecting them again and again would take long.
         collects = gc.isenabled()
         gc.disable()
         try:
-            self._learn(set(chain.from_iterable(split)) - self.chunks.keys())
-            return [np.fromiter(chain.from_iterable(map(self.chunks.__getitem__, s)), "<u4") for s in split]
+            found = [list(map(self.chunks.get, s)) for s in split]
+            partly = [i for i, f in enumerate(found) if None in f]
+            self._learn({c for i in partly for c, x in zip(split[i], found[i], strict=True) if x is None})
+            for i in partly:
+                found[i] = map(self.chunks.__getitem__, split[i])
+            return [np.frombuffer(b"".join(f), "<u4") for f in found]
         finally:
             if collects:
                 gc.enable()
