@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagequarry.functions.rules import FIELD_SCORES, NAVIGATION, NOISE_TEXT, NOISE_WORDS, STOP_WORDS
+from pagequarry.functions.rules import CATEGORIES, CATEGORY_LABELS, FIELD_SCORES, NAVIGATION, NOISE_TEXT, NOISE_WORDS, STOP_WORDS
 
 
 def words(text: Column | str) -> Column:
@@ -87,3 +87,42 @@ def good_entity(value: Column | str, kind: Column | str) -> Column:
     share = lambda p: F.try_divide(F.regexp_count(value, F.lit(p)), n)
     noisy = reduce(lambda x, y: x | y, [F.contains(F.lower(value), F.lit(w)) for w in NOISE_WORDS])
     return F.coalesce((F.length(F.trim(value)) >= 2) & (share(r"[^\w\s]") <= 0.5) & ((kind == "price") | (share(r"\d") <= 0.7)) & ~noisy, F.lit(False))
+
+
+def heading_text(headings: Column | str, between: str = " | ") -> Column:
+    """The texts of headings, an array of texts or of structs with a text, in one."""
+    return F.array_join(F.col(f"{headings}.text") if isinstance(headings, str) else headings, between)
+
+
+def structured_text(data: Column | str, between: str = " | ") -> Column:
+    """The non-blank strings of a JSON text, in order, without names and numbers."""
+    # A name is matched with its colon and left out, so that no string starts at a name's end.
+    found = F.filter(F.regexp_extract_all(data, F.lit(r'("(?:[^"\\]|\\.)*+"(?:\s*+:)?)'), 1), lambda x: F.endswith(x, F.lit('"')))
+    strings = F.from_json(F.concat(F.lit("["), F.array_join(found, ","), F.lit("]")), "array<string>")
+    return F.array_join(F.filter(strings, lambda x: F.trim(x) != ""), between)
+
+
+def segments(title, meta_description, headings, content, structured=None) -> Column:
+    """A page's cleaned texts by their part; parts without a text are null."""
+    halves = split_at(clean(content))
+    part = lambda c: F.nullif(c, F.lit(""))
+    return F.struct(
+        part(clean(title)).alias("title"),
+        part(clean(meta_description)).alias("meta_description"),
+        part(clean(headings)).alias("headings"),
+        part(halves["main"]).alias("content_main"),
+        part(halves["secondary"]).alias("content_secondary"),
+        (part(structured_text(structured)) if structured is not None else F.lit(None).cast("string")).alias("structured_data"),
+    )
+
+
+def category_ok(category: Column | str) -> Column:
+    """Whether a business category is a known one, or left out."""
+    c = F.col(category) if isinstance(category, str) else category
+    return F.coalesce(c == "", F.lit(True)) | F.coalesce(c.isin(*CATEGORIES), F.lit(True))
+
+
+def category_label(category: Column | str) -> Column:
+    """A business category's label; the category itself if it has none."""
+    names = F.create_map(*[F.lit(x) for kv in zip(CATEGORIES, CATEGORY_LABELS, strict=True) for x in kv])
+    return F.coalesce(F.try_element_at(names, category if isinstance(category, Column) else F.col(category)), category if isinstance(category, Column) else F.col(category))

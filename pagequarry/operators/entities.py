@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagequarry.functions.rules import BASE_CONFIDENCE, ENTITY_PATTERNS, FIELD_BONUS, NAME_PHRASES, PRICE_PHRASES
-from pagequarry.functions.text import normalize_value, similarity, words
+from pagequarry.functions.rules import BASE_CONFIDENCE, ENTITY_PATTERNS, FIELD_BONUS, NAME_PHRASES, NAMED_FIELD_BONUS, NAMED_PRODUCT, PRICE_PHRASES
+from pagequarry.functions.text import clean, heading_text, normalize_value, similarity, words
+
+#: The fields of a page that are searched, in order.
+FIELDS = ("title", "meta_description", "content_text", "headings")
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -42,9 +45,35 @@ def extract(df: DataFrame, column: str = "text", field: str = "content_text", le
     return df.select(*keep, F.explode(F.concat(*parts)).alias("e")).select(*keep, "e.*")
 
 
+def from_pages(pages: DataFrame, least: float = 0.5, kinds: tuple[str, ...] = tuple(ENTITY_PATTERNS)) -> DataFrame:
+    """The finds in a page's title, meta_description, content_text and headings, with ``field, field_ord``.
+
+    ``headings`` are texts or structs with a text. A find's confidence is held against ``least`` with its
+    field's bonus, before it is limited to 1. Other columns pass through; blank fields give no rows.
+    """
+    fields = [F.struct(F.lit(n).alias("field"), F.lit(i).alias("field_ord"), (heading_text("headings", " ") if n == "headings" else F.col(n)).alias("text")) for i, n in enumerate(FIELDS)]
+    keep = [c for c in pages.columns if c not in FIELDS]
+    rows = pages.select(*keep, F.explode(F.array(*fields)).alias("f")).select(*keep, "f.*").filter(F.trim("text") != "")
+    bonus = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in FIELD_BONUS.items() for x in kv]), "field"), F.lit(0.0))
+    found = extract(rows, field="", least=0.0, kinds=kinds).withColumn("confidence", F.col("confidence") + bonus)
+    return found.filter(F.col("confidence") >= least).withColumn("confidence", F.least("confidence", F.lit(1.0)))
+
+
+def named_products(df: DataFrame, column: str = "text", field: str = "content_text") -> DataFrame:
+    """One row per product that a rule over neighbouring words names in the cleaned text; no model is needed.
+
+    Confidence starts at 0.7 and grows with the field and with a capital at the start; all have two words or more.
+    """
+    keep = [c for c in df.columns if c != column]
+    rows = df.select(*keep, F.explode(spans(clean(F.col(column)), f"(?i){NAMED_PRODUCT}")).alias("s"))
+    sure = F.lit(0.8 + NAMED_FIELD_BONUS.get(field, 0.0)) + F.when(F.rlike("s.hit", F.lit(r"^\p{Lu}")), 0.1).otherwise(0.0)
+    return rows.select(*keep, F.lit("product").alias("entity_type"), F.col("s.start").alias("start"), F.col("s.hit").alias("value"), F.least(sure, F.lit(1.0)).alias("confidence"))
+
+
 def best_per_page(found: DataFrame, page: str) -> DataFrame:
     """One row per page, normal value and type: the most confident, then the first."""
-    w = W.partitionBy(page, "normalized_value", "entity_type").orderBy(F.desc("confidence"), "pattern", "start")
+    order = [c for c in ("field_ord", "pattern", "start") if c in found.columns]
+    w = W.partitionBy(page, "normalized_value", "entity_type").orderBy(F.desc("confidence"), *order)
     return found.withColumn("normalized_value", normalize_value("value")).withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
 
 

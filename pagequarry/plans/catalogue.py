@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.functions import rules, text, urls
-from pagequarry.operators import classify, entities
+from pagequarry.operators import classify, crawl, entities, jobs
 from pagequarry.operators.html import parse_pages
 from pagequarry.sources.tables import table
 from pagequarry.streaming.pages import classified
@@ -188,16 +188,68 @@ def product_names(spark: SparkSession, d: str) -> DataFrame:
     return entities.product_names(_offers(spark, d))
 
 
-# Jobs; a user's events stand for a project's crawl jobs.
+def page_entities(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "documents").select("doc_id", _pick(OFFERS, "doc_id").alias("title"), F.lit(None).cast("string").alias("meta_description"), F.col("text").alias("content_text"), F.array(_pick(OFFERS, "n_chars")).alias("h"))
+    pages = pages.withColumn("headings", F.transform("h", lambda x: F.struct(x.alias("text")))).drop("h")
+    return entities.from_pages(pages, 0.8, ("price",)).select("doc_id", "field", "pattern", "value", F.round("confidence", 6).alias("confidence"))
+
+
+def named_products(spark: SparkSession, d: str) -> DataFrame:
+    return entities.named_products(_offers(spark, d)).select("doc_id", "value", F.round("confidence", 6).alias("confidence"))
+
+
+def structured_text(spark: SparkSession, d: str) -> DataFrame:
+    data = F.format_string('{"name": "%s", "n": 5, "offers": [{"price": 1.5, "category" : "%s"}, true], "x": {"y": ["%s", " "]}}', "p_name", "p_type", "p_brand")
+    return table(spark, d, "part").select("p_partkey", text.structured_text(data).alias("strings"))
+
+
+def category_labels(spark: SparkSession, d: str) -> DataFrame:
+    kind = _pick([*rules.CATEGORIES, "fishing"], "c_custkey")
+    return table(spark, d, "customer").select("c_custkey", text.category_label(kind).alias("label"), text.category_ok(kind).alias("ok"))
+
+
+# Crawls and jobs; a user's events stand for a project's jobs, and pages link by their number.
+
+LINK_SITES, DEPTH = 5, 8
+
+
+def _address(n: Column) -> Column:
+    return F.format_string("http://site%d.example/p/%d", F.pmod(n, F.lit(LINK_SITES)), n)
+
+
+def crawl_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages link to two of their own site, some of which do not exist; each site starts at its first."""
+    n = table(spark, d, "pages").select("page_id")
+    edges = n.select(_address(F.col("page_id")).alias("url"), F.explode(F.array(F.col("page_id") * 6, F.col("page_id") + LINK_SITES)).alias("t")).select("url", _address(F.col("t")).alias("target"))
+    seeds = n.filter(F.col("page_id") < LINK_SITES).select(F.concat(F.lit("site"), "page_id").alias("project"), _address(F.col("page_id")).alias("url"))
+    return crawl.crawl(n.select(_address(F.col("page_id")).alias("url")), edges, seeds, max_pages=1 << 31, max_depth=DEPTH)
+
+
+def crawl_progress(spark: SparkSession, d: str) -> DataFrame:
+    return crawl.progress(crawl_pages(spark, d))
+
+
+#: States of jobs, by the kind of event that stands for them.
+STATES = {"view": "pending", "click": "running", "purchase": "completed", "error": "failed", "signup": "completed"}
+
+
+def _jobs(spark: SparkSession, d: str) -> DataFrame:
+    state = F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv])
+    return table(spark, d, "events").select(F.col("user_id").alias("project"), F.col("event_id").alias("job_id"), state[F.col("event_type")].alias("status"), F.col("ts").alias("created_at"))
 
 
 def latest_job(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    return e.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("job_id"), F.max_by("event_type", F.struct("ts", "event_id")).alias("status"))
+    return jobs.latest(_jobs(spark, d))
 
 
 def active_jobs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").filter(F.col("event_type").isin("view", "click")).groupBy("user_id").agg(F.count("*").alias("active"))
+    return jobs.active(_jobs(spark, d))
+
+
+def finished_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of an order stand for the pages of the job of its number."""
+    pages = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.when(F.col("l_returnflag") == "R", "failed").otherwise("crawled").alias("status"))
+    return jobs.finished(_jobs(spark, d), pages).select("job_id", "status", "pages_crawled", "pages_failed")
 
 
 def content_page(spark: SparkSession, d: str) -> DataFrame:
@@ -209,6 +261,7 @@ QUERIES = {
     for f in (
         url_normalize, url_filter, url_validate, page_title, page_links, page_content, page_classes, page_classify, page_scores, pages_by_type, content_metrics, text_clean, text_split,
         importance_score, entity_values, entity_store, entity_stats, confidence_distribution, entities_page, entity_relations, relation_delete, entities_dedup, prices, product_names, latest_job, active_jobs, content_page,
+        page_entities, named_products, structured_text, category_labels, crawl_pages, crawl_progress, finished_jobs,
     )
 } | {f"entities_{k}": _of_kind(k) for k in rules.ENTITY_PATTERNS}
 
@@ -259,6 +312,24 @@ def _clean_sql(x: str) -> str:
     return f"trim(regexp_replace({out}, '(?i)^(?:{rules.NAVIGATION})$', ''))"
 
 
+_JOBS = f"SELECT user_id AS project, event_id AS job_id, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in STATES.items())} END AS status, ts AS created_at FROM events"
+_CRAWLED = f"""
+    WITH RECURSIVE r(n, depth) AS (
+        SELECT page_id, 0 FROM pages WHERE page_id < {LINK_SITES}
+        UNION SELECT CASE WHEN t = 0 THEN n * 6 ELSE n + {LINK_SITES} END, depth + 1 FROM r JOIN pages ON page_id = n, (VALUES (0), (1)) AS v(t) WHERE depth < {DEPTH}
+    ), c AS (
+        SELECT 'site' || (n % {LINK_SITES}) AS project, 'http://site' || (n % {LINK_SITES}) || '.example/p/' || n AS url, CAST(min(depth) AS INTEGER) AS depth,
+            CASE WHEN n IN (SELECT page_id FROM pages) THEN 'crawled' ELSE 'failed' END AS status
+        FROM r GROUP BY n
+    ) """
+
+
+def _page_sql(kind: str, least: float) -> str:
+    fields = f"SELECT doc_id, 'title' AS field, {_sql_pick(OFFERS, 'doc_id')} AS text, 0.2::DOUBLE AS bonus FROM documents UNION ALL SELECT doc_id, 'content_text', text, 0.0::DOUBLE FROM documents UNION ALL SELECT doc_id, 'headings', {_sql_pick(OFFERS, 'n_chars')}, 0.1::DOUBLE FROM documents"
+    parts = [f"SELECT doc_id, field, {n} AS pattern, trim(unnest(regexp_extract_all(text, '(?i){p}'))) AS value, {min(0.6 + c, 1.0)!r}::DOUBLE + bonus AS s FROM o" for n, (p, c) in enumerate(rules.ENTITY_PATTERNS[kind])]
+    return f"WITH o AS ({fields}), f AS ({' UNION ALL '.join(parts)}) SELECT doc_id, field, pattern, value, round(least(s, 1.0), 6) AS confidence FROM f WHERE s >= {least}::DOUBLE"
+
+
 _URL = r"'^([^:/?#]+)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$'"
 
 ORACLE_SQL: dict[str, str] = {
@@ -295,8 +366,21 @@ ORACLE_SQL: dict[str, str] = {
     "entity_relations": f"{_RELATED} SELECT project, relation, count(*) AS n, CAST(sum(source) AS BIGINT) AS sources, CAST(sum(target) AS BIGINT) AS targets FROM r WHERE relation IS NOT NULL GROUP BY ALL",
     "relation_delete": f"{_RELATED} SELECT project, count(*) AS n FROM r WHERE relation IS NOT NULL AND project <> 'Brand#2' GROUP BY project",
     "prices": f"WITH o AS ({_OFFERS}) " + " UNION ALL ".join(f"SELECT doc_id, trim(unnest(regexp_extract_all(text, '(?i){p}'))) AS value, '{k}' AS subtype, {c}::DOUBLE AS confidence FROM o" for p, k, c in rules.PRICE_PHRASES),
-    "latest_job": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS job_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id",
-    "active_jobs": "SELECT user_id, count(*) AS active FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id",
+    "latest_job": f"SELECT project, arg_max(job_id, (created_at, job_id)) AS job_id, arg_max(status, (created_at, job_id)) AS status FROM ({_JOBS}) GROUP BY project",
+    "active_jobs": f"SELECT project, count(*) AS active FROM ({_JOBS}) WHERE status IN ('pending', 'running') GROUP BY project",
+    "finished_jobs": f"""
+        WITH n AS (SELECT l_orderkey AS job_id, CAST(count_if(l_returnflag <> 'R') AS BIGINT) AS c, CAST(count_if(l_returnflag = 'R') AS BIGINT) AS f FROM lineitem GROUP BY l_orderkey)
+        SELECT job_id, CASE WHEN status IN ('pending', 'running') AND c IS NOT NULL THEN 'completed' ELSE status END AS status, coalesce(c, 0) AS pages_crawled, coalesce(f, 0) AS pages_failed FROM ({_JOBS}) LEFT JOIN n USING (job_id)""",
+    "crawl_pages": _CRAWLED + "SELECT project, url, depth, status FROM c",
+    "crawl_progress": _CRAWLED + "SELECT project, CAST(count_if(status = 'crawled') AS BIGINT) AS pages_crawled, CAST(count_if(status = 'failed') AS BIGINT) AS pages_failed, count(*) AS total_pages_found FROM c GROUP BY project",
+    "structured_text": "SELECT p_partkey, p_name || ' | ' || p_type || ' | ' || p_brand AS strings FROM part",
+    "category_labels": f"""
+        WITH k AS (SELECT c_custkey, {_sql_pick([*rules.CATEGORIES, "fishing"], "c_custkey")} AS kind FROM customer)
+        SELECT c_custkey, CASE kind {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in zip(rules.CATEGORIES, rules.CATEGORY_LABELS, strict=True))} ELSE kind END AS label, kind <> 'fishing' AS ok FROM k""",
+    "named_products": f"""
+        WITH o AS ({_OFFERS}), f AS (SELECT doc_id, unnest(regexp_extract_all({_clean_sql("text")}, '(?i){rules.NAMED_PRODUCT}')) AS value FROM o)
+        SELECT doc_id, value, round(CASE WHEN regexp_matches(value, '^\\p{{Lu}}') THEN 0.9 ELSE 0.8 END::DOUBLE, 6) AS confidence FROM f""",
+    "page_entities": _page_sql("price", 0.8),
     "content_page": "SELECT event_id, user_id FROM events WHERE event_type = 'view' ORDER BY ts DESC, event_id LIMIT 50 OFFSET 50",
     "page_title": r"""
         WITH t AS (SELECT page_id, html, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)

@@ -1,14 +1,42 @@
-"""Reading the tables, and writing crawled pages."""
+"""Reading the tables, writing crawled pages, and settling intermediate rows."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark DDL of the tables that crawling and extraction keep.
+SCHEMAS = {
+    "projects": "id string, user_id string, site_url string, business_category string, created_at timestamp",
+    "crawl_jobs": "id string, project_id string, status string, base_url string, pages_crawled int, pages_failed int, total_pages_found int, started_at timestamp, completed_at timestamp, created_at timestamp, max_pages int, delay_seconds double, timeout_seconds int, respect_robots boolean, error_message string",
+    "entities": "id string, project_id string, page_id string, entity_type string, value string, normalized_value string, confidence_score double, frequency int, context string, extraction_method string, created_at timestamp, updated_at timestamp",
+    "entity_relations": "id string, entity_id string, related_entity_id string, relation_type string, confidence double, description string, created_at timestamp",
+}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def create_tables(spark: SparkSession) -> None:
+    """Create the tables of SCHEMAS in the warehouse, where they do not exist."""
+    for name, columns in SCHEMAS.items():
+        spark.sql(f"create table if not exists {name} ({columns}) using parquet")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df``'s rows, computed once, from a checkpoint in the folder that spark.checkpoint.dir names.
+
+    Only a session without that setting (local tests) gets a folder of its own.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagequarry-"))
+    return df.checkpoint(eager=True)
+
+
 def write_pages(crawled: DataFrame, failed: DataFrame, path: str) -> None:
     """Crawled and failed pages in one table, a folder for each project."""
     crawled.unionByName(failed, allowMissingColumns=True).write.mode("append").partitionBy("project").parquet(path)

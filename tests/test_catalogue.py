@@ -1,5 +1,6 @@
 """Every page and entity query against its SQL, and unit cases for parts that SQL cannot show."""
 
+import random
 import re
 
 import duckdb
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagequarry.functions import rules, text, urls
-from pagequarry.operators import classify, entities
+from pagequarry.operators import classify, crawl, entities, jobs
 from pagequarry.operators.html import data_types, parse, parse_pages
 from pagequarry.plans.catalogue import OFFERS, ORACLE_SQL, QUERIES
 from pagequarry.streaming.pages import start
@@ -23,7 +24,7 @@ def canon(df):
 @pytest.fixture(scope="session")
 def duck():
     c = duckdb.connect()
-    for t in ("pages", "documents", "part", "events"):
+    for t in ("pages", "documents", "part", "events", "customer", "lineitem"):
         c.sql(f"create view {t} as select * from '{D}/{t}.parquet'")
     return c
 
@@ -94,3 +95,65 @@ def test_stream_equals_batch(spark, tmp_path):
     pages.write.parquet(str(tmp_path / "in"))
     start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+
+
+def test_crawl_order_cap_and_robots(spark):
+    """Against a queue, level by level: the cap counts crawled pages only, failed ones before the last stay."""
+    rng = random.Random(5)
+    have = [f"http://h/{i:02}" for i in range(40)]
+    edges = [(u, f"http://h/{rng.randrange(60):02}") for u in have for _ in range(3)]
+    rules = [("h", "/1", False, 2), ("h", "/11", True, 1)]
+
+    def slow(most):
+        out, level, seen, crawled = {}, {have[0]}, set(), 0
+        for depth in range(21):
+            on = set()
+            for u in sorted(x for x in level if not (x[9] == "1" and x != "http://h/11")):
+                if crawled >= most:
+                    break
+                seen.add(u)
+                out[u] = (depth, "crawled" if u in have else "failed")
+                if u in have:
+                    crawled += 1
+                    on |= {t for s, t in edges if s == u}
+            level = on - seen
+        return out
+
+    frames = [spark.createDataFrame([(u,) for u in have + [None]], "url string"), spark.createDataFrame(edges + edges[:3], "url string, target string"), spark.createDataFrame([("p", have[0]), ("p", None), ("p", have[0])], "project string, url string")]
+    robots = spark.createDataFrame(rules, "host string, prefix string, allow boolean, ord int")
+    for most in (1, 7, 500):
+        got = {r.url: (r.depth, r.status) for r in crawl.crawl(*frames, robots=robots, max_pages=most).collect()}
+        assert got == slow(most)
+    assert crawl.crawl(frames[0], frames[1], frames[2].limit(0)).count() == 0
+
+
+def test_link_graph(spark):
+    pages = spark.createDataFrame([("http://h/p", HTML.replace('"/in"', '"/in#x"')), ("http://h/q", None)], "url string, html string")
+    assert [tuple(r) for r in crawl.link_graph(pages).collect()] == [("http://h/p", "http://h/in")]
+
+
+def test_jobs(spark):
+    rows = [("a", "1", "running", 1), ("a", "2", "completed", 1), ("b", "3", "failed", 5), ("b", "4", "pending", 4)]
+    df = spark.createDataFrame(rows, "project string, job_id string, status string, created_at int")
+    assert not jobs.may_start(df, "a") and jobs.may_start(df, "a", force=True) and jobs.may_start(df, "c")
+    assert {r.project: r.job_id for r in jobs.latest(df).collect()} == {"a": "2", "b": "3"}
+    assert jobs.status_of(df, "b", "4").first().status == "pending" and jobs.status_of(df, "b").first().job_id == "3" and jobs.status_of(df, "a", "4").count() == 0
+    pages = spark.createDataFrame([("1", "crawled"), ("1", "failed")], "job_id string, status string")
+    assert {(r.job_id, r.status, r.pages_crawled, r.pages_failed) for r in jobs.finished(df, pages).collect()} == {("1", "completed", 1, 1), ("2", "completed", 0, 0), ("3", "failed", 0, 0), ("4", "pending", 0, 0)}
+    for bad in ({"max_pages": 501}, {"delay_seconds": 0.05}, {"timeout_seconds": 121}):
+        with pytest.raises(ValueError, match=next(iter(bad))):
+            jobs.checked(**bad)
+
+
+def test_page_segments_and_fields(spark):
+    data = r'{"a \" b": "x \"y\"", "n": [1, "z", {"k": "é", "m": ""}], "url": "http://h:1/"}'
+    row = ("T", None, ["A", "B"], "c " * 1500, data)
+    df = spark.createDataFrame([row], "t string, m string, h array<string>, c string, d string")
+    s = df.select(text.segments("t", "m", text.heading_text(F.col("h")), "c", "d").alias("s")).first().s
+    assert (s.title, s.meta_description, s.headings, s.structured_data) == ("T", None, "A | B", 'x "y" | z | é | http://h:1/')
+    assert len(s.content_main) == 2000 and s.content_secondary
+    page = spark.createDataFrame([(1, "20% off", " ", "20% off", [])], "id int, title string, meta_description string, content_text string, headings array<struct<text:string>>")
+    got = entities.from_pages(page, kinds=("price",)).collect()
+    assert [(r.field, r.value) for r in sorted(got, key=lambda r: r.field_ord)] == [("title", "20% off"), ("content_text", "20% off")] and max(r.confidence for r in got) == 1.0
+    best = entities.best_per_page(entities.from_pages(page, kinds=("price",)), "id").collect()
+    assert len(best) == 1 and best[0].field == "title"
