@@ -31,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove repeated lines; a document of which no letter or digit is left goes."""
-    left = dedup_lines(docs.select(*COLUMNS))
+    left = dedup_lines(docs.select(*COLUMNS), whole=True)
     return _recounted(left.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]")))
 
 

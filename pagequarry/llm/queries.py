@@ -49,7 +49,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagequarry.llm.line_dedup import dedup_lines
 
-    kept = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
