@@ -12,7 +12,8 @@ import gc
 import os
 import struct
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from pagequarry.llm._runtime import cut
 
 LENGTH, OPEN, TINY_GAP, MERGED = 4096, 32, 16, 5
-_MEMO = 1_000_000
+#: Entries of a memo, and bytes of its longest key.
+_MEMO, _MEMO_BYTES = 900_000, 48
 _CUTTABLE = b".,!?;:%&*$#"
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -35,7 +37,8 @@ class WordTokens:
     The tokenizer drops white space and never merges across it, so chunks are independent. A memo of
     bounded size serves repeated chunks. Trailing ASCII punctuation after a Latin letter or digit is a
     pre-token of its own and is looked up apart, so there are few variants; new chunks that are words
-    of Latin letters are encoded together, one pre-token each.
+    of Latin letters are encoded together, and their ids told apart by their place in the text. The
+    strings of special tokens in a text become these tokens' ids, as the library has it by default.
     """
 
     def __init__(self, path: str):
@@ -43,25 +46,24 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         # Ids as little-endian 32-bit numbers, so that a text's ids are a join of bytes.
-        self.chunks: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.fresh: set[bytes] = set()
 
     def _learn(self, new: set[bytes]) -> None:
-        cores, chunks = self.cores, self.chunks
+        known = self.known
         parts, wanted = [], set()
         for chunk in new:
             core = chunk.rstrip(_CUTTABLE)
             mark = chunk[len(core) :]
             if core.isascii() and core[-1:].isalnum():
-                core = core.lower()
+                core = core if b"<" in core else core.lower()  # a special token's string counts as it is
             elif not core or not "0" <= (last := core[-2:].decode(errors="ignore")[-1:]) <= "ɏ" or not last.isalnum():
                 core, mark = chunk, b""
             parts.append((chunk, core, mark))
-            if core not in cores:
+            if core not in known:
                 wanted.add(core)
-            if mark and mark not in cores:
+            if mark and mark not in known:
                 wanted.add(mark)
         words, rest = [], []
         for core in wanted:
@@ -74,29 +76,33 @@ class WordTokens:
             some = words[at : at + 1000]
             got = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False)
             ids: list[list[int]] = [[] for _ in some]
-            for word, i in zip(got.word_ids, got.ids, strict=True):
-                ids[word].append(i)
-            cores.update((core, struct.pack(f"<{len(x)}I", *x)) for core, x in zip(some, ids, strict=True))
+            ends = list(accumulate(len(w.decode()) + 1 for w in some))
+            for (start, _), i in zip(got.offsets, got.ids, strict=True):
+                ids[bisect_right(ends, start)].append(i)
+            known.update((core, struct.pack(f"<{len(x)}I", *x)) for core, x in zip(some, ids, strict=True))
         for core in rest:
             x = self.tokenizer.encode(core.decode(), add_special_tokens=False).ids
-            cores[core] = struct.pack(f"<{len(x)}I", *x)
+            known[core] = struct.pack(f"<{len(x)}I", *x)
+        self.fresh = wanted | new
         for chunk, core, mark in parts:
-            chunks[chunk] = cores[core] + cores[mark] if mark else cores[core]
+            known[chunk] = known[core] + known[mark] if mark else known[core]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        for memo in (self.chunks, self.cores):
-            if len(memo) > _MEMO:
-                memo.clear()
+        if len(self.known) > _MEMO:
+            self.known.clear()
         split = [t.encode().split() for t in texts]
         # The memo's many objects hold no cycles; collecting them again and again would take long.
         collects = gc.isenabled()
         gc.disable()
         try:
-            found = [list(map(self.chunks.get, s)) for s in split]
+            found = [list(map(self.known.get, s)) for s in split]
             partly = [i for i, f in enumerate(found) if None in f]
             self._learn({c for i in partly for c, x in zip(split[i], found[i], strict=True) if x is None})
             for i in partly:
-                found[i] = map(self.chunks.__getitem__, split[i])
+                found[i] = list(map(self.known.__getitem__, split[i]))
+            for long in [c for c in self.fresh if len(c) > _MEMO_BYTES]:
+                del self.known[long]
+            self.fresh.clear()
             return [np.frombuffer(b"".join(f), "<u4") for f in found]
         finally:
             if collects:
