@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm._runtime import stage
+from pagequarry.llm._runtime import stage, unused
 
 # Base kinds in their order. Possessive repeats keep Java's matcher from recursing on long runs, and
 # \G or a look-behind starts a match only where an earlier start in the same run was not tried.
@@ -130,9 +130,9 @@ def _candidates(text: Column) -> Column:
     return F.array_sort(F.filter(F.concat(*out), lambda c: ~(c["kind"] == "card") | c["ok"] | (c["z"] - c["a"]).between(12, 40)))
 
 
-def with_candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` with the column ``candidates``; a null text counts as empty."""
-    return docs.withColumn("candidates", _candidates(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+def with_candidates(docs: DataFrame, name: str = "candidates") -> DataFrame:
+    """``docs`` with the column ``candidates``, or one of another ``name``; a null text counts as empty."""
+    return docs.withColumn(name, _candidates(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
 @dataclass
@@ -198,17 +198,23 @@ def _score(model: Model, c: Column) -> Column:
     return 1 / (1 + F.exp(-s))
 
 
-def with_spans(marked: DataFrame, model: Model) -> DataFrame:
-    """``marked`` with ``base`` and ``spans``: the base matches, and these with what the classifier adds.
+def _spans(candidates: Column, model: Model) -> tuple[Column, Column]:
+    """The base matches among the candidates, and these with what the classifier adds.
 
     Added spans of at least one half that overlap no base span are taken; base spans stay whatever
     their score. Both are ``array<struct<a,rank,z,kind>>`` by start and then kind.
     """
     slim = lambda c: F.struct(c["a"], c["rank"], c["z"], c["kind"])
-    base = F.transform(F.filter("candidates", lambda c: c["base"] & c["ok"]), slim)
-    added = F.transform(F.filter("candidates", lambda c: ~c["base"] & (_score(model, c) >= 0.5)), slim)
-    free = F.filter("added", lambda c: ~F.exists("base", lambda b: (b["a"] < c["z"]) & (c["a"] < b["z"])))
-    return marked.withColumn("base", base).withColumn("added", added).withColumn("spans", F.array_sort(F.concat("base", free))).drop("added", "candidates")
+    base = F.transform(F.filter(candidates, lambda c: c["base"] & c["ok"]), slim)
+    added = F.transform(F.filter(candidates, lambda c: ~c["base"] & (_score(model, c) >= 0.5)), slim)
+    free = F.filter(added, lambda c: ~F.exists(base, lambda b: (b["a"] < c["z"]) & (c["a"] < b["z"])))
+    return base, F.array_sort(F.concat(base, free))
+
+
+def with_spans(marked: DataFrame, model: Model) -> DataFrame:
+    """``marked`` with ``base`` and ``spans`` in place of ``candidates``; columns of these two names are replaced."""
+    base, spans = _spans(F.col("candidates"), model)
+    return marked.withColumns({"base": base, "spans": spans}).drop("candidates")
 
 
 def written(spans: Column | str) -> Column:
@@ -231,17 +237,30 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with each span of ``text`` replaced by its kind in brackets; other columns as they are.
+    """``docs`` with each span of ``text`` replaced by its kind in brackets; other columns as they are, whatever their names.
 
-    Overlapping spans are replaced together, under the first one's kind. A null text stays null.
+    Overlapping spans are replaced together, under the first one's kind. A null text stays null. The rows
+    are staged once with their candidates.
     """
-    marked = with_candidates(docs)
-    model = fit(stage(marked.select("candidates"), "pii"))
+    found, spans = unused(docs, "candidates", "spans")
+    marked = stage(with_candidates(docs, found), "pii")
+    model = fit(marked.select(F.col(found).alias("candidates")))
+    marked = marked.withColumn(spans, _spans(F.col(found), model)[1])
     text = F.col("text").cast("string")
+    # Where each span begins to count: after all spans before it. One that lies within those is left out.
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,z:int,kind:string>>").alias("out"))
 
     def step(acc, s):
-        cut_ = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["a"] - acc["at"], F.lit(0))), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["a"] >= acc["at"], F.struct(s["z"].alias("at"), cut_.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["z"]).alias("at"), acc["out"].alias("out")))
+        more = F.array_append(acc["out"], F.struct(s["a"].alias("a"), s["z"].alias("z"), s["kind"].alias("kind")))
+        longer = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.struct(F.element_at(acc["out"], -1)["a"].alias("a"), s["z"].alias("z"), F.element_at(acc["out"], -1)["kind"].alias("kind"))))
+        return F.when(s["a"] >= acc["at"], F.struct(s["z"].alias("at"), more.alias("out"))).when(s["z"] > acc["at"], F.struct(s["z"].alias("at"), longer.alias("out"))).otherwise(acc)
+
+    merged = F.aggregate(spans, start, step, lambda acc: acc["out"])
+
+    def replaced(ms):
+        before = lambda i: F.when(i > 0, F.get(ms, i - 1)["z"]).otherwise(0)
+        parts = F.transform(ms, lambda m, i: F.concat(F.substring(text, before(i) + 1, m["a"] - before(i)), F.lit("["), F.upper(m["kind"]), F.lit("]")))
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(ms, -1)["z"] + 1, F.length(text)))
 
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return with_spans(marked, model).withColumn("text", F.when(F.size("spans") > 0, done).otherwise(text)).select(*docs.columns)
+    done = F.element_at(F.transform(F.array(merged), replaced), 1)
+    return marked.withColumn("text", F.when(F.size(spans) > 0, done).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
