@@ -36,8 +36,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the smallest doc_id, of each group of near copies."""
-    return keep_representatives(docs.select(*COLUMNS))
+    """Keep one document, that of the smallest doc_id, of each group of near copies by five-word shingles."""
+    return keep_representatives(docs.select(*COLUMNS), shingle=5)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
