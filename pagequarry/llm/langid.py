@@ -2,21 +2,24 @@
 
 A bounded sample of labelled text per language becomes a suffix automaton. A text is parsed greedily
 into the longest phrases that occur in a language's sample; the language that needs the fewest
-phrases, normalised by the phrase cost in bits and the text's length, wins.
+phrases, normalised by the phrase cost in bits and the text's length, wins. All letters of the samples
+are known; another letter, or one that a language lacks, is a phrase of its own at a fixed cost.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_CHARS = 24_000
-LETTERS = 44
-CHUNK = 256
+#: Texts are parsed in pieces side by side; each starts so many letters early, to be in step with the piece before it.
+CHUNK, WARM = 512, 96
+#: What a letter that a language lacks costs, in bits, the same for all languages.
+LITERAL = 16.0
+#: Up to so many entries the transitions are a plain table, beyond it a hash table; both give the same.
+DENSE = 12_000_000
 UNDETERMINED = "und"
 _LANES = 1 << 13
 _POINTS = 0x110000
@@ -41,8 +44,8 @@ class Alphabet:
     def __init__(self, known: list[int]):
         self.known = known
         self.size = len(known) + 2
-        self.of = _letters().astype(np.uint8)
-        self.of[known] = np.arange(2, self.size, dtype=np.uint8)
+        self.of = _letters().astype(np.uint32)
+        self.of[known] = np.arange(2, self.size, dtype=np.uint32)
 
     def codes(self, text: str) -> np.ndarray:
         c = self.of[_points(text)]
@@ -53,11 +56,9 @@ class Alphabet:
         return c[keep]
 
 
-def suffix_automaton(codes: np.ndarray, alphabet: int) -> np.ndarray:
-    """Transitions ``[state, code] -> state`` of the suffix automaton; state 1 is the root, 0 none."""
-    n = 2 * len(codes) + 2
-    step = np.zeros((n, alphabet), np.int32)
-    rows = [None, {}]
+def suffix_automaton(codes: np.ndarray) -> list[dict[int, int]]:
+    """Transitions ``[state][code] -> state`` of the suffix automaton; state 1 is the root, 0 none."""
+    rows: list[dict[int, int]] = [{}, {}]
     link, length = [0, 0], [0, 0]
     last = 1
     for c in codes.tolist():
@@ -79,97 +80,156 @@ def suffix_automaton(codes: np.ndarray, alphabet: int) -> np.ndarray:
                 p = link[p]
             link[q] = link[cur] = clone
         last = cur
-    for s, row in enumerate(rows[1:], 1):
-        for c, t in row.items():
-            step[s, c] = t
-    return step[: len(rows)]
+    return rows
 
 
 class Model:
-    """The automata of all languages in one table."""
+    """The automata of all languages: their transitions in one table, hashed if the alphabet is large."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        points = Counter()
-        for text in samples.values():
-            for c, k in zip(*np.unique(_points(text), return_counts=True), strict=True):
-                points[int(c)] += int(k)
         ok = _letters()
-        frequent = sorted((c for c in points if ok[c]), key=lambda c: (-points[c], c))
-        self.known = sorted(frequent[:LETTERS])
+        self.known = sorted({int(c) for text in samples.values() for c in np.unique(_points(text)) if ok[c]})
         alphabet = Alphabet(self.known)
-        tables, self.roots, self.bits, at = [np.zeros((1, alphabet.size), np.int32)], [], [], 1
+        self.width = alphabet.size
+        self.roots, self.bits, at, keys, targets = [], [], 1, [], []
         for lang in self.langs:
             codes = alphabet.codes(samples[lang])
-            t = suffix_automaton(codes, alphabet.size)
-            t[:, 1] = 0  # an unknown letter never matches
+            rows = suffix_automaton(codes)
             self.roots.append(at)
             self.bits.append(float(np.log2(max(2, len(codes)))))
-            tables.append(np.where(t[1:] > 0, t[1:] + (at - 1), 0).astype(np.int32))
-            at += len(t) - 1
-        self.step = np.concatenate(tables)
+            for s, row in enumerate(rows[1:]):
+                keys += [(s + at) * self.width + c for c in row]
+                targets += [t + at - 1 for t in row.values()]
+            at += len(rows) - 1
+        key, target = np.array(keys, np.int64), np.array(targets, np.int32)
+        self.dense = None
+        if at * self.width <= DENSE:
+            self.dense = np.zeros(at * self.width, np.int32)
+            self.dense[key] = target
+            return
+        self.shift = 64 - max(4, (2 * len(keys)).bit_length())
+        self.slots = np.full((1 << 64 - self.shift) + 1024, -1, np.int64)
+        self.to = np.zeros(len(self.slots), np.int32)
+        self.slots[-1] = -2  # the end of the last run
+        wait = np.arange(len(keys))
+        slot = self._slot(key)
+        while len(wait):  # those that find a free slot first take it, the others move on
+            free = self.slots[slot[wait]] == -1
+            first = np.zeros(len(wait), bool)
+            first[np.unique(slot[wait], return_index=True)[1]] = True
+            put = wait[free & first]
+            self.slots[slot[put]], self.to[slot[put]] = key[put], target[put]
+            wait = wait[~(free & first)]
+            slot[wait] += 1
+            if len(wait) and slot[wait].max() >= len(self.slots) - 1:
+                raise RuntimeError("the table of transitions is too full")
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(self.shift)).astype(np.int64)
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The states that ``code`` leads to; 0 where it leads nowhere."""
+        key = state * self.width + code
+        if self.dense is not None:
+            return self.dense[key]
+        slot = self._slot(key)
+        at = self.slots[slot]
+        out = np.where(at == key, self.to[slot], 0)
+        todo = np.nonzero((at != key) & (at >= 0))
+        while len(todo[0]):
+            slot[todo] += 1
+            at = self.slots[slot[todo]]
+            hit = at == key[todo]
+            out[tuple(i[hit] for i in todo)] = self.to[slot[tuple(i[hit] for i in todo)]]
+            more = ~hit & (at >= 0)
+            todo = tuple(i[more] for i in todo)
+        return out
 
     def alphabet(self) -> Alphabet:
         return Alphabet(self.known)
 
 
-def phrases(model: Model, chunks: list[np.ndarray]) -> np.ndarray:
-    """Phrases that each language needs for each chunk: one row a chunk, one column a language."""
+def _parse(model: Model, chunks: list[np.ndarray], warm: np.ndarray, state: np.ndarray):
+    """Phrases and literals that end in each chunk after its ``warm`` letters, and the states there and at its end.
+
+    One row a chunk, one column a language; each chunk begins in its ``state``.
+    """
     order = np.argsort([-len(c) for c in chunks], kind="stable")
     lens = np.array([len(chunks[i]) for i in order])
-    grid = np.zeros((len(chunks), int(lens[0]) if len(lens) else 0), np.int64)
+    grid = np.zeros((len(chunks), int(lens[0]) if len(lens) else 0), np.int32)
     for r, i in enumerate(order):
         grid[r, : len(chunks[i])] = chunks[i]
-    roots = np.array(model.roots, np.int64)
-    flat, width = model.step.ravel(), model.step.shape[1]
-    state = np.tile(roots, (len(chunks), 1))
-    count = np.zeros(state.shape, np.int64)
+    roots = np.array(model.roots, np.int64)[None, :]
+    first = model.step(np.repeat(roots, model.width, 0), np.arange(model.width)[:, None])  # from the root, by code
+    state, warm = state[order].astype(np.int64), warm[order]
+    count, literal, begun = np.zeros(state.shape, np.int64), np.zeros(state.shape, np.int64), state.copy()
     active = np.searchsorted(-lens, -np.arange(grid.shape[1]), side="left")
     for j in range(grid.shape[1]):
         k = active[j]
+        if j == WARM:
+            rows = np.flatnonzero(warm[:k] == j)
+            begun[rows], count[rows], literal[rows] = state[rows], 0, 0
         c = grid[:k, j, None]
-        to = flat[state[:k] * width + c]
+        to = model.step(state[:k], c)
         missed = to == 0
         if missed.any():
-            again = flat[roots[None, :] * width + c]
-            count[:k] += missed
+            again = first[grid[:k, j]]
             alone = missed & (again == 0)  # a letter unknown to the language is a phrase of its own
-            count[:k] += alone & (state[:k] != roots)
-            to = np.where(missed, np.where(alone, roots[None, :], again), to)
+            count[:k] += missed & (state[:k] != roots)
+            literal[:k] += alone
+            to = np.where(missed, np.where(alone, roots, again), to)
         state[:k] = to
-    count += state != roots
-    out = np.empty_like(count)
-    out[order] = count
+    out = []
+    for x in (count, literal, begun, state):
+        back = np.empty_like(x)
+        back[order] = x
+        out.append(back)
     return out
 
 
+def phrases(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases and literals that each language needs for each text: one row a text, one column a language.
+
+    A long text's pieces are parsed side by side. A piece that was not in the state in which the one
+    before it ended is parsed again from there, so the counts are those of one parse of the whole text.
+    """
+    roots = np.array(model.roots, np.int64)
+    total = np.zeros((2, len(texts), len(roots)), np.int64)
+    carried = roots[None, :]
+    parts = [(i, at) for i, t in enumerate(texts) for at in range(0, len(t), CHUNK)]
+    for low in range(0, len(parts), _LANES):
+        some = parts[low : low + _LANES]
+        warm = np.array([WARM if at else 0 for _, at in some])
+        chunks = [texts[i][at - w : at + CHUNK] for (i, at), w in zip(some, warm, strict=True)]
+        count, literal, begun, ended = _parse(model, chunks, warm, np.tile(roots, (len(some), 1)))
+        later = np.array([at > 0 for _, at in some])
+        while True:
+            before = np.concatenate([carried, ended[:-1]])
+            late = np.flatnonzero(later & (begun != before).any(1))
+            if not len(late):
+                break
+            again = _parse(model, [texts[some[r][0]][some[r][1] : some[r][1] + CHUNK] for r in late], np.zeros(len(late), np.int64), before[late])
+            count[late], literal[late], _, ended[late] = again
+            begun[late] = before[late]
+        last = [r for r, (i, at) in enumerate(some) if at + CHUNK >= len(texts[i])]
+        count[last] += ended[last] != roots
+        carried = ended[-1:]
+        np.add.at(total, (slice(None), [i for i, _ in some]), np.stack([count, literal]))
+    return total[0], total[1]
+
+
 def identify(model: Model, alphabet: Alphabet, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Language and score of each text; ``und`` and 0 where there is no letter."""
     langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
     if not model.langs:
         return langs, scores
-    chunks, owner, sizes = [], [], {}
-    totals = np.zeros((len(texts), len(model.langs)), np.int64)
-
-    def flush():
-        if chunks:
-            np.add.at(totals, np.array(owner), phrases(model, chunks))
-            chunks.clear(), owner.clear()
-
-    for i, text in enumerate(texts):
-        codes = alphabet.codes(text) if text else np.zeros(0, np.uint8)
-        if not codes.any():
-            continue
-        sizes[i] = len(codes)
-        for at in range(0, len(codes), CHUNK):
-            chunks.append(codes[at : at + CHUNK])
-            owner.append(i)
-            if len(chunks) == _LANES:
-                flush()
-    flush()
+    coded = {i: c for i, t in enumerate(texts) if t and (c := alphabet.codes(t)).any()}
+    count, literal = phrases(model, list(coded.values()))
     bits = np.array(model.bits)
-    for i, n in sizes.items():
-        cost = totals[i] * bits / n
+    for r, (i, codes) in enumerate(coded.items()):
+        n = len(codes)
+        cost = (count[r] * bits + literal[r] * LITERAL) / n
         best = int(np.argmin(cost))
         # A softmax over the total bits, tempered so that long texts don't all saturate.
         gap = (cost - cost[best]) * min(n, 64)
@@ -203,8 +263,7 @@ def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Model:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred string, score double``, from ``text`` alone.
 
-    Null texts and texts without a letter give ``und`` and 0. Whole texts are parsed, in chunks whose
-    phrase counts add up. Other columns pass through (those two names are replaced); repeated rows
+    Null texts and texts without a letter give ``und`` and 0. Whole texts are parsed. Other columns pass through (those two names are replaced); repeated rows
     give repeated rows; a model without languages gives ``und`` for all.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
