@@ -80,7 +80,7 @@ class Features:
         return [
             len(strong) / n * 100,
             float(min(len(strong), 20)),
-            float(len({tokens[i].lower() for i in strong[:64]})),
+            float(min(64, len({tokens[i].lower() for i in strong}))),
             float(weights.mean()),
             float(min(50.0, weights[strong].sum())),
             float((flags >> 3 & 1).sum()) / n * 100,
