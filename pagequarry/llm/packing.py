@@ -26,7 +26,7 @@ from pagequarry.llm._runtime import cut
 
 LENGTH, OPEN, TINY_GAP, MERGED = 4096, 32, 16, 5
 #: Entries of a memo, and bytes of its longest key.
-_MEMO, _MEMO_BYTES = 900_000, 48
+_MEMO, _MEMO_BYTES = 750_000, 48
 _CUTTABLE = b".,!?;:%&*$#"
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
