@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagequarry-"))
     return spark.sparkContext.getCheckpointDir()
 
