@@ -268,11 +268,27 @@ def test_cross_parsing():
 
     rng = random.Random(5)
     texts = ["".join(rng.choice("abcdrhelowy ") for _ in range(rng.randrange(1, 60))).strip() or "a" for _ in range(200)]
-    got = langid.phrases(model, [codes(t) for t in texts])
+    texts += ["".join(rng.choice("abcdrhelowyz ") for _ in range(n)).strip() for n in (langid.CHUNK, 1500, 6000)]
+    got = sum(langid.phrases(model, [codes(t) for t in texts]))
     near = [abs(g - w) for t, row in zip(texts, got, strict=True) for g, w in zip(row, (slow(t, "abracadabra"), slow(t, "hello world yellow")), strict=True)]
     assert max(near) == 0
 
 
+@pytest.mark.parametrize("dense", [0, 10**9])
+def test_languages_of_many_letters_and_unequal_samples(dense, monkeypatch):
+    monkeypatch.setattr(langid, "DENSE", dense)
+    samples = {
+        "en": "the people of this town speak about the weather every day because it is raining in the north of the country " * 20,
+        "el": "οι άνθρωποι αυτής της πόλης μιλούν για τον καιρό κάθε μέρα γιατί βρέχει στο βορρά της χώρας " * 20,
+        "ru": "люди этого города говорят о погоде каждый день потому что на севере страны идёт дождь " * 20,
+        "ar": "يتحدث الناس في هذه المدينة عن الطقس كل يوم لأن المطر يهطل في شمال البلاد " * 20,
+        "zh": "今天天气很好我们一起去公园散步吧朋友们都喜欢在这里聊天因为国家北方又下雨了",
+    }
+    model = langid.Model(samples)
+    texts = ["people speak about rain", "άνθρωποι μιλούν για", "люди говорят о", "الناس عن الطقس", "我们去公园聊天"]
+    assert langid.identify(model, model.alphabet(), texts)[0] == list(samples)
+
+
 # 7
 
 
@@ -362,10 +378,17 @@ def test_packing(spark, edge, empty, sample):
         assert r.offset == fill[r.sequence_id]
         fill[r.sequence_id] += r.length
     assert max(fill.values()) <= 4096 and sum(fill.values()) > 0.95 * 4096 * len(fill)
+    rng = random.Random(9)
+    odd = ["alpha İstanbul beta", "x <|endoftext|> y", "A<|ENDOFTEXT|>B a<|endoftext|>b <|startoftext|>.", "ŉ ǅ ﬁ Å", "don't DON'T", "漢字 кириллица ẞ", "x" * 5000 + " y"]
+    odd += ["".join(rng.choice([chr(rng.randrange(32, 0x250)), chr(rng.randrange(0x20, 0x3000)), rng.choice("  aeiou.,'<|>"), "a"]) for _ in range(rng.randrange(1, 30))) for _ in range(500)]
+    assert [x.tolist() for x in packing.WordTokens(WORD_BPE).ids(odd)] == [t.encode(x, add_special_tokens=False).ids for x in odd]
     assert packing.pack(empty, WORD_BPE).count() == 0
     assert packing.pack(edge, WORD_BPE, with_ids=True).filter("ids is null").count() == 0
 
 
+from tests.llm.exact_lines import exact_lines, lost  # noqa: E402
+
+
 def test_pipeline(spark, tmp_path, sample):
     import corpus_pipeline as c
 
@@ -381,8 +404,10 @@ def test_pipeline(spark, tmp_path, sample):
             assert {r.doc_id for r in before.select("doc_id").subtract(out.select("doc_id")).collect()} == {100000, 100001, 100002}
         if name == "line_dedup":
             assert out.filter("doc_id = 100003").count() == 0
-            want = slow_lines([(r.doc_id, r.text) for r in before.orderBy("doc_id").collect()])
-            assert {r.doc_id: r.text for r in out.collect()} == {d: t for d, t in want.items() if re.search(r"[^\W_]", t)}
+            docs_, left = [(r.doc_id, r.text) for r in before.orderBy("doc_id").collect()], {r.doc_id: r.text for r in out.collect()}
+            want = exact_lines(docs_)
+            gone = lambda new: {(d, p) for d, t in docs_ for p in lost(t, new.get(d, ""))}
+            assert gone(left) <= gone(want) and len(gone(left)) >= 0.95 * len(gone(want)) > 0
         if name == "pii":
             assert out.count() == before.count() and not any(slow_base(r.text) and "email" in slow_base(r.text) for r in out.collect())
         before = out
