@@ -2,41 +2,72 @@
 
 from __future__ import annotations
 
+import html
+import re
 from functools import reduce
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from pagequarry.functions.rules import CATEGORIES, CATEGORY_LABELS, FIELD_SCORES, NAVIGATION, NOISE_TEXT, NOISE_WORDS, STOP_WORDS
+from pagequarry.functions.rules import CATEGORIES, CATEGORY_LABELS, FIELD_SCORES, NAVIGATION, NOISE_TEXT, NOISE_WORDS, STOP_WORDS, URL_RULES
+
+
+#: A character of white space: Unicode's, and four control characters that count as such in Python.
+SPACE = r"(?U)[\s\x1c-\x1f]"
+
+
+def strip(text: Column | str) -> Column:
+    """``text`` without white space of any kind at its ends."""
+    return F.regexp_replace(text, rf"^{SPACE}++|{SPACE}++$", "")
 
 
 def words(text: Column | str) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, rf"{SPACE}+"), lambda w: w != "")
 
 
-def metrics(text: Column | str) -> dict[str, Column]:
-    """Counts of a text's words, characters and sentences, words a sentence, and minutes to read."""
+def metrics(text: Column | str, headings: Column | int = 0) -> dict[str, Column]:
+    """Counts of a text's words, characters, sentences, paragraphs and headings, words a sentence, and minutes to read; null for no text."""
+    text = F.col(text) if isinstance(text, str) else text
     n = F.size(words(text))
-    sentences = F.size(F.filter(F.split(text, r"[.!?]+"), lambda s: F.trim(s) != ""))
-    return {
+    sentences = F.size(F.filter(F.split(text, r"[.!?]+"), lambda s: s.rlike(r"(?U)[^\s\x1c-\x1f]")))
+    all_ = {
         "word_count": n,
         "character_count": F.length(text),
         "sentence_count": sentences,
+        "paragraph_count": F.size(F.split(text, "\n\n")),
+        "heading_count": headings if isinstance(headings, Column) else F.lit(headings),
         "avg_words_per_sentence": F.when(sentences > 0, n / sentences).otherwise(0.0),
         "reading_time_minutes": n / 200.0,
     }
+    return {k: F.when(text != "", v) for k, v in all_.items()}
+
+
+#: What counts as a tag: a comment, or a name after the bracket.
+TAG = r"<!--[\s\S]*?-->|<[/!?]?[A-Za-z][^>]*>"
+
+
+@F.pandas_udf(StringType())
+def plain_text(texts: pd.Series) -> pd.Series:
+    """HTML character references resolved, by the standard's table of about 2,200 names, without tags."""
+    tag = re.compile(TAG)
+    both = lambda t: html.unescape(tag.sub("", html.unescape(t)))
+    return texts.map(lambda t: both(t) if t and ("&" in t or "<" in t) else t)
 
 
 def clean(text: Column | str) -> Column:
     """White space collapsed, boilerplate phrases and texts that are only navigation removed.
 
-    Tags go first; text cut out by them joins without a separator. Null gives an empty text.
+    Character references are resolved before tags go, so an escaped tag goes too, and once more after
+    it; text cut out by tags joins without a separator. Null gives an empty text.
     """
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^>]*>", "")
-    out = F.regexp_replace(out, r"\s+", " ")
+    text = F.col(text) if isinstance(text, str) else text
+    out = plain_text(F.coalesce(text, F.lit("")))
+    out = F.regexp_replace(out, rf"{SPACE}+", " ")
     for p in NOISE_TEXT:
         out = F.regexp_replace(out, f"(?i){p}", "")
-    return F.trim(F.regexp_replace(out, f"(?i)^(?:{NAVIGATION})$", ""))
+    return strip(F.regexp_replace(out, f"(?i)^(?:{NAVIGATION})$", ""))
 
 
 def split_at(text: Column | str, most: int = 2000) -> Column:
@@ -65,7 +96,7 @@ def importance(text: Column | str, field: str) -> Column:
 
 def normalize_value(value: Column | str) -> Column:
     """An entity value for comparison: lower case, one article before and one company form after it removed."""
-    v = F.regexp_replace(F.lower(F.trim(value)), r"\s+", " ")
+    v = F.regexp_replace(F.lower(strip(value)), rf"{SPACE}+", " ")
     return F.regexp_replace(F.regexp_replace(v, r"^(the|a|an)\s+", ""), r"\s+(inc|llc|corp|ltd|co)\.?$", "")
 
 
@@ -77,8 +108,8 @@ def similarity(a: Column | str, b: Column | str) -> Column:
 
 def is_noise(value: Column | str) -> Column:
     """Stop words, navigation words, and values of under two letters, digits or underscores."""
-    low = F.lower(F.trim(value))
-    return (F.length(low) < 2) | low.isin(*STOP_WORDS) | F.rlike(value, F.lit(f"(?i)^(?:{NAVIGATION})$")) | (F.length(F.regexp_replace(low, r"[^\w\s]", "")) < 2)
+    low = F.lower(strip(value))
+    return (F.length(low) < 2) | low.isin(*STOP_WORDS) | F.rlike(value, F.lit(f"(?i)^(?:{NAVIGATION})$")) | (F.length(F.regexp_replace(low, r"(?U)[^\w\s]", "")) < 2)
 
 
 def good_entity(value: Column | str, kind: Column | str) -> Column:
@@ -86,7 +117,12 @@ def good_entity(value: Column | str, kind: Column | str) -> Column:
     n = F.length(value)
     share = lambda p: F.try_divide(F.regexp_count(value, F.lit(p)), n)
     noisy = reduce(lambda x, y: x | y, [F.contains(F.lower(value), F.lit(w)) for w in NOISE_WORDS])
-    return F.coalesce((F.length(F.trim(value)) >= 2) & (share(r"[^\w\s]") <= 0.5) & ((kind == "price") | (share(r"\d") <= 0.7)) & ~noisy, F.lit(False))
+    return F.coalesce((F.length(strip(value)) >= 2) & (share(r"(?U)[^\w\s]") <= 0.5) & ((kind == "price") | (share(r"(?U)\d") <= 0.7)) & ~noisy, F.lit(False))
+
+
+def categories(spark) -> DataFrame:
+    """The page types that a classification can give, as rows."""
+    return spark.createDataFrame([(t,) for t in URL_RULES], "page_type string")
 
 
 def heading_text(headings: Column | str, between: str = " | ") -> Column:

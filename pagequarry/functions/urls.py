@@ -6,13 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagequarry.functions.rules import SKIPPED_SUFFIXES
+from pagequarry.functions.text import strip
 
 # scheme, authority, path, query, fragment
 PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
 def part(url: Column | str, n: int) -> Column:
-    return F.regexp_extract(F.trim(url), PARTS, n)
+    return F.regexp_extract(strip(url), PARTS, n)
 
 
 def path(url: Column | str) -> Column:
@@ -45,11 +46,30 @@ def resolve(base: Column | str, href: Column | str) -> Column:
     )
 
 
-def valid_site(url: Column | str) -> Column:
-    """Whether a site address as a user types it is acceptable."""
-    v = F.trim(url)
+def site(url: Column | str) -> Column:
+    """``struct<url,error>`` of a site address as a user types it: with its scheme, or why it is refused."""
+    v = strip(url)
     full = F.when(v.rlike("^https?://"), v).otherwise(F.concat(F.lit("https://"), v))
     domain = F.lower(F.split_part(part(full, 2), F.lit(":"), F.lit(1)))
     refused = v.rlike(r"^https?://$") | v.rlike("^[a-zA-Z]+$") | v.rlike(r"\.{2,}") | v.startswith("ftp://")
     sound = domain.rlike(r"^[a-zA-Z0-9]([a-zA-Z0-9.-]*[a-zA-Z0-9])?$") & ((domain == "localhost") | domain.contains("."))
-    return F.coalesce(url.isNotNull() & (v != "") & ~refused & sound, F.lit(False))
+    error = (
+        F.when(F.coalesce(v, F.lit("")) == "", "URL is required")
+        .when(refused, "Please enter a valid website URL")
+        .when(F.coalesce(part(full, 2), F.lit("")) == "", "Invalid URL format")
+        .when(~sound, "Invalid domain format")
+    )
+    return F.struct(F.when(error.isNull(), full).alias("url"), error.alias("error"))
+
+
+def valid_site(url: Column | str) -> Column:
+    """Whether a site address as a user types it is acceptable."""
+    return site(url)["error"].isNull()
+
+
+def form_error(url: Column | str) -> Column:
+    """Why an entry form refuses a site address, else null; stricter than ``site``: a top domain of up to six characters."""
+    url = F.col(url) if isinstance(url, str) else url
+    full = F.when(F.rlike(url, F.lit("^https?://")), url).otherwise(F.concat(F.lit("https://"), url))
+    sound = full.rlike(r"^https?://(www\.)?[-a-zA-Z0-9@:%._+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b([-a-zA-Z0-9()@:%_+.~#?&/=]*)$")
+    return F.when(F.coalesce(strip(url), F.lit("")) == "", "URL is required").when(~sound, "Please enter a valid website URL")

@@ -19,8 +19,7 @@ def keyword_score(text: Column, kind: str) -> Column:
     if kind not in KEYWORDS:
         return F.lit(0.0)
     share = []
-    for group in KEYWORDS[kind]:
-        keys = group.split("|")
+    for keys in KEYWORDS[kind]:
         share.append(reduce(lambda a, b: a + b, [text.contains(k).cast("int") for k in keys]).cast("double") / float(len(keys)))
     return F.least(share[0] * 0.7 + share[1] * 0.3, F.lit(1.0))
 

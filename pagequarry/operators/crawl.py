@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
+from urllib.robotparser import RobotFileParser
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,21 +32,22 @@ def allowed(asked: DataFrame, robots: DataFrame) -> DataFrame:
     A host's first rule, by ord, whose prefix starts the path decides; without one a page is allowed.
     """
     rules = robots.select(F.col("host").alias("_h"), "prefix", "allow", "ord")
-    hit = asked.select("url").distinct().join(rules, (urls.part("url", 2) == F.col("_h")) & F.startswith(urls.path("url"), F.col("prefix")))
-    refused = hit.groupBy("url").agg(F.min_by("allow", "ord").alias("allow")).filter(~F.col("allow"))
+    hit = asked.select("url").distinct().join(rules, (urls.part("url", 2) == F.col("_h")) & F.startswith(F.concat(urls.path("url"), urls.part("url", 4)), F.col("prefix")))
+    refused = hit.groupBy("url").agg(F.min_by("allow", "ord").alias("allow")).filter(~F.col("allow")).select("url")
     return asked.join(refused, "url", "left_anti")
 
 
-def crawl(have: DataFrame, edges: DataFrame, seeds: DataFrame, robots: DataFrame | None = None, max_pages: int = 50, max_depth: int = 20) -> DataFrame:
+def crawl(have: DataFrame, edges: DataFrame, seeds: DataFrame, robots: DataFrame | None = None, max_pages: int = 50, max_depth: int | None = None) -> DataFrame:
     """``(project, url, depth, status)`` of what a crawl from ``seeds(project, url)`` fetches.
 
     A page in ``have(url)`` is ``crawled`` and its links in ``edges(url, target)`` come next; another
     is ``failed``. A level is fetched in the order of its addresses, until a project has ``max_pages``
-    crawled pages; failed ones do not count. Null addresses and repeated rows are passed over.
+    crawled pages; failed ones do not count. It ends when nothing new is linked, or after
+    ``max_depth`` levels if that is given. Null addresses and repeated rows are passed over.
     """
     stored = have.select("url").filter("url is not null").distinct().withColumn("found", F.lit(True))
     new, levels = seeds.select("project", "url").filter("project is not null and url is not null").distinct(), []
-    for depth in range(max_depth + 1):
+    for depth in count() if max_depth is None else range(max_depth + 1):
         if robots is not None:
             new = allowed(new, robots)
         asked = new.join(stored, "url", "left").select("project", "url", F.coalesce("found", F.lit(False)).alias("ok"))
@@ -65,12 +69,34 @@ def _within(asked: DataFrame, levels: list[DataFrame], most: int) -> DataFrame:
         asked = asked.join(used, "project", "left").filter(F.coalesce("used", F.lit(0)) < most).select("project", "url", "ok", (most - F.coalesce("used", F.lit(0))).alias("left"))
     else:
         asked = asked.withColumn("left", F.lit(most).cast("long"))
+    # Only a project whose level has more pages than it may still crawl needs an order.
+    sizes = asked.filter("ok").groupBy("project").agg(F.count("*").alias("n"))
+    tight = asked.filter("ok").join(sizes, "project").filter("n > left")
     part = W.partitionBy("project", "part").orderBy("url")
-    first = asked.filter("ok").withColumn("part", F.pmod(F.xxhash64("url"), F.lit(PARTS))).withColumn("rn", F.row_number().over(part)).filter("rn <= left")
+    first = tight.withColumn("part", F.pmod(F.xxhash64("url"), F.lit(PARTS))).withColumn("rn", F.row_number().over(part)).filter("rn <= left")
     last = first.withColumn("rn", F.row_number().over(W.partitionBy("project").orderBy("url"))).filter("rn = left").select("project", F.col("url").alias("last"))
     return asked.join(last, "project", "left").filter("last is null or url <= last").select("project", "url", "ok")
 
 
+def robots_rules(files: DataFrame, agent: str) -> DataFrame:
+    """``(host, prefix, allow, ord)`` of ``files(host, text)``, the robots.txt of hosts, that hold for ``agent``.
+
+    The standard library reads a file; one without a text allows all.
+    """
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for host, text in zip(b["host"], b["text"], strict=True):
+                parser = RobotFileParser()
+                parser.parse((text or "").splitlines())
+                entry = next((e for e in parser.entries if e.applies_to(agent)), parser.default_entry)
+                rows += [(host, r.path, r.allowance, i) for i, r in enumerate(entry.rulelines if entry else [])]
+            yield pd.DataFrame(rows, columns=["host", "prefix", "allow", "ord"])
+
+    return files.select("host", "text").mapInPandas(run, "host string, prefix string, allow boolean, ord int")
+
+
 def progress(fetched: DataFrame) -> DataFrame:
     """Pages crawled and failed, and found in all, per project."""
     return fetched.groupBy("project").agg(F.count_if(F.col("status") == "crawled").alias("pages_crawled"), F.count_if(F.col("status") == "failed").alias("pages_failed"), F.count("*").alias("total_pages_found"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagequarry.functions.rules import BASE_CONFIDENCE, ENTITY_PATTERNS, FIELD_BONUS, NAME_PHRASES, NAMED_FIELD_BONUS, NAMED_PRODUCT, PRICE_PHRASES
-from pagequarry.functions.text import clean, heading_text, normalize_value, similarity, words
+from pagequarry.functions.rules import BASE_CONFIDENCE, ENTITY_PATTERNS, FIELD_BONUS, HINTS, NAME_PHRASES, NAMED_FIELD_BONUS, NAMED_PRODUCT, PRICE_PHRASES, RULER
+from pagequarry.functions.text import clean, heading_text, normalize_value, similarity, strip, words
+from pagequarry.sources.tables import settled, unused
 
 #: The fields of a page that are searched, in order.
 FIELDS = ("title", "meta_description", "content_text", "headings")
@@ -33,15 +36,19 @@ def _found(text: Column, kind: str, number: int, pattern: str, confidence: float
 
 def extract(df: DataFrame, column: str = "text", field: str = "content_text", least: float = 0.5, kinds: tuple[str, ...] = tuple(ENTITY_PATTERNS)) -> DataFrame:
     """``df`` without the text, one row per match: entity_type, pattern, start, value, confidence, context."""
+    # The lower-case text shows cheaply which patterns can match at all; a long s counts as one there.
+    low, = unused(df, "low")
+    df = df.withColumn(low, F.translate(F.lower(column), "ſ", "s"))
     text, parts = F.col(column), []
     for kind in kinds:
         for number, (pattern, bonus) in enumerate(ENTITY_PATTERNS[kind]):
             confidence = BASE_CONFIDENCE + bonus + FIELD_BONUS.get(field, 0.0)
             if confidence >= least:
-                rule = f"(?i){pattern}"
+                rule = f"(?iU){pattern}"  # words and their ends as in Unicode
                 none = F.array().cast("array<struct<entity_type:string,pattern:int,start:int,value:string,confidence:double,context:string>>")
-                parts.append(F.when(text.rlike(rule), F.transform(spans(text, rule), _found(text, kind, number, rule, confidence))).otherwise(none))
-    keep = [c for c in df.columns if c != column]
+                hinted = reduce(lambda a, b: a | b, [F.col(low).contains(h) for h in HINTS[kind][number]])
+                parts.append(F.when(hinted & text.rlike(rule), F.transform(spans(text, rule), _found(text, kind, number, rule, confidence))).otherwise(none))
+    keep = [c for c in df.columns if c not in (column, low)]
     return df.select(*keep, F.explode(F.concat(*parts)).alias("e")).select(*keep, "e.*")
 
 
@@ -53,7 +60,7 @@ def from_pages(pages: DataFrame, least: float = 0.5, kinds: tuple[str, ...] = tu
     """
     fields = [F.struct(F.lit(n).alias("field"), F.lit(i).alias("field_ord"), (heading_text("headings", " ") if n == "headings" else F.col(n)).alias("text")) for i, n in enumerate(FIELDS)]
     keep = [c for c in pages.columns if c not in FIELDS]
-    rows = pages.select(*keep, F.explode(F.array(*fields)).alias("f")).select(*keep, "f.*").filter(F.trim("text") != "")
+    rows = pages.select(*keep, F.explode(F.array(*fields)).alias("f")).select(*keep, "f.*").filter(strip("text") != "")
     bonus = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in FIELD_BONUS.items() for x in kv]), "field"), F.lit(0.0))
     found = extract(rows, field="", least=0.0, kinds=kinds).withColumn("confidence", F.col("confidence") + bonus)
     return found.filter(F.col("confidence") >= least).withColumn("confidence", F.least("confidence", F.lit(1.0)))
@@ -113,7 +120,7 @@ def store(found: DataFrame, merge: bool = True) -> DataFrame:
     if not merge:
         return rows.withColumn("frequency", F.lit(1).cast("long")).drop("ord")
     return rows.groupBy("project", "normalized_value", "entity_type").agg(
-        F.min_by("value", "ord").alias("value"), F.max("confidence").alias("confidence"), F.max_by("context", F.struct("confidence", -F.col("ord"))).alias("context"), F.count("*").alias("frequency"), F.min("ord").alias("ord")
+        F.min_by("value", "ord").alias("value"), F.max("confidence").alias("confidence"), F.min_by("context", F.struct(-F.col("confidence"), F.col("ord"))).alias("context"), F.count("*").alias("frequency"), F.min("ord").alias("ord")
     )
 
 
@@ -169,5 +176,49 @@ def new_relations(found: DataFrame, known: DataFrame) -> DataFrame:
 def delete_project(entities: DataFrame, links: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
     """The entities and relations left when a project's entities go, with the relations at either end."""
     gone = entities.filter(F.col("project") == project).select("project", "ord")
-    left = links.join(gone, (links["project"] == gone["project"]) & ((links["source"] == gone["ord"]) | (links["target"] == gone["ord"])), "left_anti")
-    return entities.filter(F.col("project") != project), left
+    left = links
+    for end in ("source", "target"):
+        left = left.join(gone.withColumnRenamed("ord", end), ["project", end], "left_anti")
+    return entities.filter(F.col("project") != project), left.select(*links.columns)
+
+
+def ruled(df: DataFrame, column: str = "text") -> DataFrame:
+    """One row per match of the seven rules over neighbouring words in the cleaned text: rule, label, start, value."""
+    keep = [c for c in df.columns if c != column]
+    rows = df.select(*keep, clean(F.col(column)).alias("_clean"))
+    one = lambda i, label: lambda x: F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), x["start"].alias("start"), x["hit"].alias("value"))
+    found = [F.when(F.col("_clean").rlike(p), F.transform(spans(F.col("_clean"), p), one(i, label))).otherwise(F.array().cast("array<struct<rule:int,label:string,start:int,value:string>>")) for i, (label, p) in enumerate(RULER)]
+    return rows.select(*keep, F.explode(F.concat(*found)).alias("r")).select(*keep, "r.*")
+
+
+def extracted(pages: DataFrame, least: float = 0.5, kinds: tuple[str, ...] = tuple(ENTITY_PATTERNS)) -> DataFrame:
+    """A page's entities by rules over words, first, and by patterns, the best of each value and type.
+
+    ``pages(project, page_id, title, meta_description, content_text, headings)``. Of the rules only those
+    for products count. The finds carry ``ord``, their order in the project.
+    """
+    by_pattern = from_pages(pages, least, kinds).withColumns({"engine": F.lit(1), "kind": F.array_position(F.array(*map(F.lit, ENTITY_PATTERNS)), F.col("entity_type"))})
+    keep = [c for c in pages.columns if c not in FIELDS]
+    columns = [*keep, "field", "field_ord", "engine", "kind", "pattern", "entity_type", "start", "value", "confidence", "context"]
+    found = by_pattern.select(*columns)
+    for i, name in enumerate(FIELDS):
+        text = heading_text("headings", " ") if name == "headings" else F.col(name)
+        named = named_products(pages.select(*keep, text.alias("text")).filter(F.col("text").isNotNull()), field=name).filter(F.col("confidence") >= least)
+        extra = {"field": F.lit(name), "field_ord": F.lit(i), "engine": F.lit(0), "kind": F.lit(0).cast("long"), "pattern": F.lit(0), "context": F.col("value")}
+        found = found.unionByName(named.withColumns(extra).select(*columns)) if "product" in kinds else found
+    order = F.struct("page_id", "field_ord", "engine", "kind", "pattern", "start")
+    return best_per_page(found.withColumn("ord", order), "page_id")
+
+
+def extract_and_store(pages: DataFrame, least: float = 0.5, kinds: tuple[str, ...] = tuple(ENTITY_PATTERNS)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A summary a project, the entities and their relations, from the crawled ones of ``pages(project, page_id, status, ...)``.
+
+    The summary has ``status`` (``completed``, or ``no_pages`` where no page is crawled), ``pages_processed``
+    and ``entities_extracted``, the finds before they are merged across pages.
+    """
+    done = pages.filter(F.col("status") == "crawled").drop("status")
+    found = settled(extracted(done, least, kinds))
+    stored = settled(store(found.select("project", "entity_type", "value", "confidence", "context", "ord")))
+    counted = pages.groupBy("project").agg(F.count_if(F.col("status") == "crawled").alias("pages_processed")).join(found.groupBy("project").agg(F.count("*").alias("entities_extracted")), "project", "left")
+    summary = counted.select("project", F.when(F.col("pages_processed") > 0, "completed").otherwise("no_pages").alias("status"), "pages_processed", F.coalesce("entities_extracted", F.lit(0)).cast("long").alias("entities_extracted"))
+    return summary, stored, relations(stored)

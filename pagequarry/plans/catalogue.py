@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions import rules, text, urls
 from pagequarry.operators import classify, crawl, entities, jobs
 from pagequarry.operators.html import parse_pages
+from pagequarry.sources import tables
 from pagequarry.sources.tables import table
 from pagequarry.streaming.pages import classified
 
@@ -72,8 +73,8 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
 
 def page_content(spark: SparkSession, d: str) -> DataFrame:
     parsed = parse_pages(table(spark, d, "pages"))
-    m = text.metrics(F.col("content"))
-    return parsed.select("page_id", "content", m["word_count"].alias("word_count"), m["reading_time_minutes"].alias("reading_time_minutes"), "error")
+    m = text.metrics(F.col("content"), F.size("headings"))
+    return parsed.select("page_id", "content", *[m[n].alias(n) for n in ("word_count", "heading_count", "reading_time_minutes")], "error")
 
 
 def page_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -95,11 +96,27 @@ def page_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pages_by_type(spark: SparkSession, d: str) -> DataFrame:
-    return page_classify(spark, d).groupBy("page_type").agg(F.count("*").alias("n"))
+    """Every seventh page is failed; a page of unknown type has none."""
+    rows = page_classify(spark, d).withColumns({"project": F.col("page_id") % 3, "status": F.when(F.col("page_id") % 7 == 0, "failed").otherwise("crawled")})
+    return tables.pages_by_type(rows.withColumn("page_type", F.nullif("page_type", F.lit("unknown"))))
+
+
+def page_categories(spark: SparkSession, d: str) -> DataFrame:
+    return text.categories(spark)
+
+
+def site_check(spark: SparkSession, d: str) -> DataFrame:
+    typed = F.concat(_pick(["", "ftp://", "a..b", "\t", "http://"], "page_id"), F.regexp_replace("url", "^https?://", ""), _pick(["", " \n"], "page_id"))
+    rows = table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 9 == 0, _pick([" ", "localhost", "http://x", "-a.com"], "page_id")).otherwise(typed).alias("typed"))
+    return rows.select("page_id", urls.site("typed").alias("s"), urls.form_error("typed").alias("form_error")).select("page_id", "s.url", "s.error", "form_error")
 
 
 # Texts
 
+#: What is put before a text to be cleaned, and what must be left of it.
+DIRTY = ["<b>Home</b>  ", "Sign up  ", "", "Privacy Policy ", "Tom &amp; Jerry &lt;b&gt;x ", "caf&eacute; &#65;&#x42; <!-- c -->1 < 2 ", "&amp;lt; \u00a0"]
+CLEANED = ["Home ", "", "", "", "Tom & Jerry x ", "caf\u00e9 AB 1 < 2 ", "< "]
+
 
 def content_metrics(spark: SparkSession, d: str) -> DataFrame:
     m = text.metrics(F.col("text"))
@@ -107,7 +124,7 @@ def content_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_clean(spark: SparkSession, d: str) -> DataFrame:
-    dirty = F.concat(_pick(["<b>Home</b>  ", "Sign up  ", "", "Privacy Policy "], "doc_id"), F.col("text"))
+    dirty = F.concat(_pick(DIRTY, "doc_id"), F.col("text"))
     return table(spark, d, "documents").select("doc_id", text.clean(dirty).alias("cleaned"))
 
 
@@ -210,19 +227,31 @@ def category_labels(spark: SparkSession, d: str) -> DataFrame:
 
 # Crawls and jobs; a user's events stand for a project's jobs, and pages link by their number.
 
-LINK_SITES, DEPTH = 5, 8
+#: Pages a site, what a crawl may take of it, and the start of the paths that its robots rules refuse.
+SITE, MOST, REFUSED = 40, 30, 13
 
 
-def _address(n: Column) -> Column:
-    return F.format_string("http://site%d.example/p/%d", F.pmod(n, F.lit(LINK_SITES)), n)
+def _address(site: Column, n: Column) -> Column:
+    return F.format_string("http://site%d.example/p/%d", site, n)
 
 
 def crawl_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages link to two of their own site, some of which do not exist; each site starts at its first."""
-    n = table(spark, d, "pages").select("page_id")
-    edges = n.select(_address(F.col("page_id")).alias("url"), F.explode(F.array(F.col("page_id") * 6, F.col("page_id") + LINK_SITES)).alias("t")).select("url", _address(F.col("t")).alias("target"))
-    seeds = n.filter(F.col("page_id") < LINK_SITES).select(F.concat(F.lit("site"), "page_id").alias("project"), _address(F.col("page_id")).alias("url"))
-    return crawl.crawl(n.select(_address(F.col("page_id")).alias("url")), edges, seeds, max_pages=1 << 31, max_depth=DEPTH)
+    """A site is SITE pages; each links to two others, some of which do not exist. A crawl starts at each site's first page."""
+    n = table(spark, d, "pages").select(F.floor(F.col("page_id") / SITE).alias("site"), F.pmod("page_id", F.lit(SITE)).alias("i"))
+    edges = n.select("site", "i", F.explode(F.array(F.col("i") * 2 + 1, F.col("i") * 2 + 2)).alias("t")).select(_address(F.col("site"), F.col("i")).alias("url"), _address(F.col("site"), F.col("t")).alias("target"))
+    seeds = n.filter("i = 0").select(F.concat(F.lit("site"), "site").alias("project"), _address(F.col("site"), F.col("i")).alias("url"))
+    files = n.filter("i = 0").select(F.format_string("site%d.example", "site").alias("host"), F.lit(ROBOTS).alias("text"))
+    rules = tables.settled(crawl.robots_rules(files, AGENT))
+    return crawl.crawl(n.select(_address(F.col("site"), F.col("i")).alias("url")), edges, seeds, rules, max_pages=MOST)
+
+
+AGENT = "quarrybot"
+ROBOTS = f"User-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /p/{REFUSED}0 # first\nDisallow: /p/{REFUSED}\nDisallow:\n"
+
+
+def robots_rules(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "pages").select(F.concat(F.lit("h"), "page_id").alias("host"), _pick([ROBOTS, "", "User-agent: quarrybot\nDisallow: /x y\n\nUser-agent: *\nDisallow: /z"], "page_id").alias("text"))
+    return crawl.robots_rules(files, AGENT)
 
 
 def crawl_progress(spark: SparkSession, d: str) -> DataFrame:
@@ -253,7 +282,22 @@ def finished_jobs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def content_page(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").filter("event_type = 'view'").orderBy(F.desc("ts"), "event_id").offset(50).limit(50).select("event_id", "user_id")
+    pages = table(spark, d, "events").select(F.lit("p").alias("project"), F.when(F.col("event_type") == "view", "crawled").otherwise("failed").alias("status"), F.col("ts").alias("crawled_at"), F.col("event_id").alias("id"), (F.col("event_id") % 3).cast("string").alias("page_type"), "user_id")
+    total, rows = tables.content_list(pages, "p", "1", 50, 50)
+    return rows.select("id", "user_id", F.lit(total).cast("long").alias("total"))
+
+
+def extraction_job(spark: SparkSession, d: str) -> DataFrame:
+    """Documents stand for pages, their sources for projects; of every tenth the crawl failed."""
+    pages = table(spark, d, "documents").select(
+        F.col("source").alias("project"), F.col("doc_id").alias("page_id"), F.when(F.col("doc_id") % 10 == 3, "failed").otherwise("crawled").alias("status"),
+        _pick(OFFERS, "doc_id").alias("title"), F.lit(None).cast("string").alias("meta_description"), F.col("text").alias("content_text"), F.array(F.struct(_pick(OFFERS, "n_chars").alias("text"))).alias("headings"),
+    )
+    return entities.extract_and_store(pages, 0.5, ("price",))[0]
+
+
+def ruled_entities(spark: SparkSession, d: str) -> DataFrame:
+    return entities.ruled(_offers(spark, d)).select("doc_id", "rule", "label", "value")
 
 
 QUERIES = {
@@ -261,7 +305,7 @@ QUERIES = {
     for f in (
         url_normalize, url_filter, url_validate, page_title, page_links, page_content, page_classes, page_classify, page_scores, pages_by_type, content_metrics, text_clean, text_split,
         importance_score, entity_values, entity_store, entity_stats, confidence_distribution, entities_page, entity_relations, relation_delete, entities_dedup, prices, product_names, latest_job, active_jobs, content_page,
-        page_entities, named_products, structured_text, category_labels, crawl_pages, crawl_progress, finished_jobs,
+        page_entities, named_products, structured_text, category_labels, crawl_pages, crawl_progress, finished_jobs, page_categories, site_check, robots_rules, extraction_job, ruled_entities,
     )
 } | {f"entities_{k}": _of_kind(k) for k in rules.ENTITY_PATTERNS}
 
@@ -272,7 +316,7 @@ def _score_sql(kind: str) -> str:
     if kind in rules.KEYWORDS:
         share = []
         for group in rules.KEYWORDS[kind]:
-            keys = group.split("|")
+            keys = group
             hits = " + ".join(f"contains(t, '{k}')::INT" for k in keys)
             share.append(f"(({hits})::DOUBLE / {len(keys)})")
         out += f" + least({share[0]} * 0.7::DOUBLE + {share[1]} * 0.3::DOUBLE, 1) * 0.5::DOUBLE"
@@ -306,7 +350,7 @@ def _kind_sql(kind: str) -> str:
 
 
 def _clean_sql(x: str) -> str:
-    out = f"regexp_replace(regexp_replace(coalesce({x}, ''), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')"
+    out = f"regexp_replace({x}, '[\\s\\x{{a0}}]+', ' ', 'g')"
     for p in rules.NOISE_TEXT:
         out = f"regexp_replace({out}, '(?i){p.replace(chr(92) + '©', '©')}', '', 'g')"
     return f"trim(regexp_replace({out}, '(?i)^(?:{rules.NAVIGATION})$', ''))"
@@ -314,13 +358,15 @@ def _clean_sql(x: str) -> str:
 
 _JOBS = f"SELECT user_id AS project, event_id AS job_id, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in STATES.items())} END AS status, ts AS created_at FROM events"
 _CRAWLED = f"""
-    WITH RECURSIVE r(n, depth) AS (
-        SELECT page_id, 0 FROM pages WHERE page_id < {LINK_SITES}
-        UNION SELECT CASE WHEN t = 0 THEN n * 6 ELSE n + {LINK_SITES} END, depth + 1 FROM r JOIN pages ON page_id = n, (VALUES (0), (1)) AS v(t) WHERE depth < {DEPTH}
+    WITH RECURSIVE r(site, i, depth) AS (
+        SELECT page_id // {SITE}, 0, 0 FROM pages WHERE page_id % {SITE} = 0
+        UNION ALL SELECT site, 2 * i + t, depth + 1 FROM r JOIN pages ON page_id = site * {SITE} + i AND i < {SITE}, (VALUES (1), (2)) AS v(t) WHERE 2 * i + t <> {REFUSED}
+    ), o AS (
+        SELECT site, 'http://site' || site || '.example/p/' || i AS url, depth, i < {SITE} AND site * {SITE} + i IN (SELECT page_id FROM pages) AS ok FROM r
+    ), n AS (
+        SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY site ORDER BY depth, url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o
     ), c AS (
-        SELECT 'site' || (n % {LINK_SITES}) AS project, 'http://site' || (n % {LINK_SITES}) || '.example/p/' || n AS url, CAST(min(depth) AS INTEGER) AS depth,
-            CASE WHEN n IN (SELECT page_id FROM pages) THEN 'crawled' ELSE 'failed' END AS status
-        FROM r GROUP BY n
+        SELECT 'site' || site AS project, url, CAST(depth AS INTEGER) AS depth, CASE WHEN ok THEN 'crawled' ELSE 'failed' END AS status FROM n WHERE before < {MOST}
     ) """
 
 
@@ -343,11 +389,29 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, typed, NOT starts_with(trim(typed), 'ftp://') AND NOT contains(typed, '..') AND regexp_matches(lower(regexp_extract(trim(typed), '^[^/?#:]*')), '^[a-z0-9]([a-z0-9.-]*[a-z0-9])?$') AND contains(regexp_extract(trim(typed), '^[^/?#:]*'), '.') AS ok FROM t""",
     "page_classify": _CLASSIFIED,
     "page_scores": f"SELECT page_id, {', '.join(f'round({k}_score, 6) AS {k}_score' for k in rules.URL_RULES)} FROM ({_SCORED})",
-    "pages_by_type": f"SELECT page_type, count(*) AS n FROM ({_CLASSIFIED}) GROUP BY page_type",
+    "pages_by_type": f"SELECT page_id % 3 AS project, page_type, count(*) AS n FROM ({_CLASSIFIED}) WHERE page_id % 7 <> 0 GROUP BY ALL",
+    "page_categories": f"SELECT unnest(['{"', '".join(rules.URL_RULES)}']) AS page_type",
+    "site_check": f"""
+        WITH t AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS u FROM pages), k AS (SELECT page_id, u, CASE WHEN page_id % 9 = 0 THEN 10 + page_id % 4 ELSE page_id % 5 END AS k FROM t)
+        SELECT page_id, CASE k WHEN 0 THEN 'https://' || u WHEN 3 THEN 'https://' || u WHEN 4 THEN 'http://' || u END AS url,
+            CASE k WHEN 1 THEN 'Please enter a valid website URL' WHEN 2 THEN 'Please enter a valid website URL' WHEN 10 THEN 'URL is required' WHEN 11 THEN 'Please enter a valid website URL' WHEN 12 THEN 'Invalid domain format' WHEN 13 THEN 'Invalid domain format' END AS error,
+            CASE WHEN k = 10 THEN 'URL is required' WHEN k IN (11, 12) THEN 'Please enter a valid website URL' WHEN k = 13 THEN NULL WHEN k IN (1, 3) OR page_id % 2 = 1 OR NOT regexp_matches(u, '^[^/]+[-a-zA-Z0-9()@:%_+.~#?&/=]*$') THEN 'Please enter a valid website URL' END AS form_error FROM k""",
+    "robots_rules": f"""
+        WITH k AS (SELECT 'h' || page_id AS host, page_id % 3 AS k FROM pages)
+        SELECT host, '/p/{REFUSED}0' AS prefix, TRUE AS allow, 0 AS ord FROM k WHERE k = 0 UNION ALL SELECT host, '/p/{REFUSED}', FALSE, 1 FROM k WHERE k = 0
+        UNION ALL SELECT host, '', TRUE, 2 FROM k WHERE k = 0 UNION ALL SELECT host, '/x%20y', FALSE, 0 FROM k WHERE k = 2""",
+    "extraction_job": f"""
+        WITH o AS (SELECT doc_id, source AS project, unnest([{_sql_pick(OFFERS, "doc_id")}, text, {_sql_pick(OFFERS, "n_chars")}]) AS text FROM documents WHERE doc_id % 10 <> 3),
+        f AS ({" UNION ALL ".join(f"SELECT doc_id, project, trim(unnest(regexp_extract_all(text, '(?i){p}'))) AS value FROM o" for p, _ in rules.ENTITY_PATTERNS["price"])}),
+        n AS (SELECT project, count(*) AS n FROM (SELECT DISTINCT project, doc_id, {_NORMAL} FROM f) GROUP BY project)
+        SELECT project, CASE WHEN count_if(doc_id % 10 <> 3) > 0 THEN 'completed' ELSE 'no_pages' END AS status, CAST(count_if(doc_id % 10 <> 3) AS BIGINT) AS pages_processed, CAST(coalesce(max(n.n), 0) AS BIGINT) AS entities_extracted
+        FROM (SELECT source AS project, doc_id FROM documents) LEFT JOIN n USING (project) GROUP BY project""",
+    "ruled_entities": f"WITH o AS (SELECT doc_id, {_clean_sql("text")} AS text FROM ({_OFFERS})) " + " UNION ALL ".join(f"SELECT doc_id, {i} AS rule, '{k}' AS label, unnest(regexp_extract_all(text, '{p}')) AS value FROM o" for i, (k, p) in enumerate(rules.RULER)),
     "content_metrics": r"""
-        WITH m AS (SELECT doc_id, text, len([w FOR w IN regexp_split_to_array(text, '[ \t\n\r\f\x0B]+') IF w <> '']) AS w, len([s FOR s IN regexp_split_to_array(text, '[.!?]+') IF trim(s) <> '']) AS s FROM documents)
-        SELECT doc_id, w AS word_count, length(text) AS character_count, s AS sentence_count, round(CASE WHEN s > 0 THEN w / s::DOUBLE ELSE 0 END, 6) AS avg_words_per_sentence, round(w / 200.0::DOUBLE, 6) AS reading_time_minutes FROM m""",
-    "text_clean": f"SELECT doc_id, {_clean_sql(_sql_pick(['<b>Home</b>  ', 'Sign up  ', '', 'Privacy Policy '], 'doc_id') + ' || text')} AS cleaned FROM documents",
+        WITH m AS (SELECT doc_id, text, len([w FOR w IN regexp_split_to_array(text, '[\s\x0B\x1c-\x1f\x85\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+') IF w <> '']) AS w, len([s FOR s IN regexp_split_to_array(text, '[.!?]+') IF regexp_matches(s, '\S')]) AS s FROM documents WHERE text <> '')
+        SELECT doc_id, w AS word_count, length(text) AS character_count, s AS sentence_count, len(string_split(text, chr(10) || chr(10))) AS paragraph_count, 0::BIGINT AS heading_count, round(CASE WHEN s > 0 THEN w / s::DOUBLE ELSE 0 END, 6) AS avg_words_per_sentence, round(w / 200.0::DOUBLE, 6) AS reading_time_minutes FROM m
+        UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM documents WHERE text = '' OR text IS NULL""",
+    "text_clean": f"SELECT doc_id, {_clean_sql(_sql_pick(CLEANED, 'doc_id') + ' || text')} AS cleaned FROM documents",
     "text_split": r"""
         WITH h AS (SELECT doc_id, length(text) AS n, substr(text, 1, 2000) AS h FROM documents),
         p AS (SELECT doc_id, n, CASE WHEN contains(h, chr(10) || chr(10)) THEN 2000 - instr(reverse(h), chr(10) || chr(10)) - 1 ELSE -1 END AS p, CASE WHEN contains(h, '. ') THEN 2000 - instr(reverse(h), ' .') - 1 ELSE -1 END AS s FROM h),
@@ -381,7 +445,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH o AS ({_OFFERS}), f AS (SELECT doc_id, unnest(regexp_extract_all({_clean_sql("text")}, '(?i){rules.NAMED_PRODUCT}')) AS value FROM o)
         SELECT doc_id, value, round(CASE WHEN regexp_matches(value, '^\\p{{Lu}}') THEN 0.9 ELSE 0.8 END::DOUBLE, 6) AS confidence FROM f""",
     "page_entities": _page_sql("price", 0.8),
-    "content_page": "SELECT event_id, user_id FROM events WHERE event_type = 'view' ORDER BY ts DESC, event_id LIMIT 50 OFFSET 50",
+    "content_page": "WITH p AS (SELECT event_id AS id, user_id, count(*) OVER () AS total, ts FROM events WHERE event_type = 'view' AND event_id % 3 = 1) SELECT id, user_id, total FROM p ORDER BY ts DESC, id LIMIT 50 OFFSET 50",
     "page_title": r"""
         WITH t AS (SELECT page_id, html, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)
         SELECT page_id, trim(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS title, CAST(len(regexp_extract_all(html, '<h[1-6]>')) AS INTEGER) AS n_headings FROM t""",

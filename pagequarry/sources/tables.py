@@ -5,11 +5,15 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Spark DDL of the tables that crawling and extraction keep.
 SCHEMAS = {
+    "users": "id string, email string, auth_token string, created_at timestamp",
     "projects": "id string, user_id string, site_url string, business_category string, created_at timestamp",
     "crawl_jobs": "id string, project_id string, status string, base_url string, pages_crawled int, pages_failed int, total_pages_found int, started_at timestamp, completed_at timestamp, created_at timestamp, max_pages int, delay_seconds double, timeout_seconds int, respect_robots boolean, error_message string",
+    "crawled_pages": "id string, crawl_job_id string, project_id string, url string, normalized_url string, title string, meta_description string, meta_keywords string, page_type string, confidence_score double, status string, crawled_at timestamp, content_text string, headings array<struct<level:int,text:string,position:int>>, images array<struct<src:string,alt:string,title:string>>, links array<struct<href:string,text:string,title:string,type:string>>, json_ld array<string>, microdata array<struct<type:string,properties:map<string,string>>>, open_graph map<string,string>, twitter_card map<string,string>, content_metrics struct<word_count:int,character_count:int,sentence_count:int,paragraph_count:int,heading_count:int,avg_words_per_sentence:double,reading_time_minutes:double>, error_message string, http_status_code int, extraction_method string, extraction_time_ms int, created_at timestamp, updated_at timestamp",
+    "page_content_sections": "id string, page_id string, section_type string, section_order int, parent_section_id string, content_text string, content_html string, heading_level int, word_count int, character_count int, attributes string, created_at timestamp",
     "entities": "id string, project_id string, page_id string, entity_type string, value string, normalized_value string, confidence_score double, frequency int, context string, extraction_method string, created_at timestamp, updated_at timestamp",
     "entity_relations": "id string, entity_id string, related_entity_id string, relation_type string, confidence double, description string, created_at timestamp",
 }
@@ -25,18 +29,63 @@ def create_tables(spark: SparkSession) -> None:
         spark.sql(f"create table if not exists {name} ({columns}) using parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have."""
+    out = []
+    for name in names:
+        while name in df.columns or name in out:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df``'s rows, computed once, from a checkpoint in the folder that spark.checkpoint.dir names.
 
-    Only a session without that setting (local tests) gets a folder of its own.
+    Only a local session without that setting (tests) gets a folder of its own.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.split("[")[0] != "local":
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagequarry-"))
     return df.checkpoint(eager=True)
 
 
 def write_pages(crawled: DataFrame, failed: DataFrame, path: str) -> None:
-    """Crawled and failed pages in one table, a folder for each project."""
-    crawled.unionByName(failed, allowMissingColumns=True).write.mode("append").partitionBy("project").parquet(path)
+    """Crawled and failed pages in one table with their ``status``, a folder for each project; what failed ones lack is null."""
+    both = crawled.withColumn("status", F.lit("crawled")).unionByName(failed.withColumn("status", F.lit("failed")), allowMissingColumns=True)
+    both.write.mode("append").partitionBy("project").parquet(path)
+
+
+def content_list(pages: DataFrame, project: str, page_type: str | None = None, limit: int = 50, offset: int = 0) -> tuple[int, DataFrame]:
+    """How many crawled pages a project has of a type, or in all, and one page of their list, the newest first, ties by id."""
+    own = pages.filter((F.col("project") == project) & (F.col("status") == "crawled"))
+    own = own if page_type is None else own.filter(F.col("page_type") == page_type)
+    return own.count(), own.orderBy(F.desc("crawled_at"), "id").offset(offset).limit(limit)
+
+
+def pages_by_type(pages: DataFrame) -> DataFrame:
+    """Crawled pages per project and type; those without a type count as unknown."""
+    done = pages.filter(F.col("status") == "crawled")
+    return done.groupBy("project", F.coalesce("page_type", F.lit("unknown")).alias("page_type")).agg(F.count("*").alias("n"))
+
+
+def new_project(spark: SparkSession, site_url: str, category: str | None = None, user_id: str | None = None) -> DataFrame:
+    """A row for ``projects``; ``ValueError`` says why the address or the category is refused."""
+    from pagequarry.functions.text import category_ok
+    from pagequarry.functions.urls import site
+
+    given = spark.createDataFrame([(site_url, category, user_id)], "site_url string, business_category string, user_id string")
+    row = given.select(F.expr("uuid()").alias("id"), "user_id", site("site_url").alias("s"), "business_category", F.current_timestamp().alias("created_at"), category_ok("business_category").alias("ok"))
+    error = row.select("s.error", "ok").first()
+    if error["error"] or not error["ok"]:
+        raise ValueError(error["error"] or "Invalid business category")
+    return row.select("id", "user_id", F.col("s.url").alias("site_url"), "business_category", "created_at")
+
+
+def project_of(projects: DataFrame, id: str, user_id: str | None = None) -> DataFrame:
+    """The project of that id, if it is the user's where one is given."""
+    own = projects.filter(F.col("id") == id)
+    return own if user_id is None else own.filter(F.col("user_id") == user_id)
