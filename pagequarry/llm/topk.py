@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pagequarry.llm._runtime import cut
 
 LEVEL_BITS = 8
+#: Query blocks whose histograms a task sums before it sends them on.
+HELD = 64
 _LIMIT = 1 << 26
 
 
@@ -137,7 +139,16 @@ def _refine(pairs: DataFrame, state: DataFrame | None, k: int, low: int, level:
     """One level: histogram the scores inside each query's interval and step into the k-th one's bin."""
     shift, bins = LEVEL_BITS * level, 1 << LEVEL_BITS
 
+    def rows_of(qb, q, at, n):
+        where = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(where), qb, np.int64)), pa.array(q[where // bins]), pa.array((at[where // bins] << LEVEL_BITS) + where % bins), pa.array(n[where].astype(np.int64))],
+            ["qb", "q", "bin", "n"],
+        )
+
     def run(batches):
+        # Sums of some query blocks over all the row blocks that the task meets; the oldest goes when there are too many.
+        sums: dict[int, tuple] = {}
         for b in batches:
             for i in range(b.num_rows):
                 row = {c: b.column(c)[i].as_py() for c in b.schema.names}
@@ -152,11 +163,14 @@ def _refine(pairs: DataFrame, state: DataFrame | None, k: int, low: int, level:
                 mask = mask & (bin_ >= 0) & (bin_ < bins)
                 flat = (np.arange(len(q))[:, None] * bins + bin_)[mask]
                 n = np.bincount(flat, minlength=len(q) * bins)
-                where = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(where), row["qb"], np.int64)), pa.array(q[where // bins]), pa.array((at[where // bins] << LEVEL_BITS) + where % bins), pa.array(n[where].astype(np.int64))],
-                    ["qb", "q", "bin", "n"],
-                )
+                if row["qb"] in sums:
+                    sums[row["qb"]][2][:] += n
+                else:
+                    sums[row["qb"]] = (q, at, n)
+                    if len(sums) > HELD:
+                        yield rows_of((oldest := next(iter(sums))), *sums.pop(oldest))
+        for qb, held in sums.items():
+            yield rows_of(qb, *held)
 
     hist = pairs.mapInArrow(run, "qb long, q long, bin long, n long").groupBy("qb", "q", "bin").agg(F.sum("n").alias("n"))
     if state is None:
