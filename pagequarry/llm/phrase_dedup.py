@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm._runtime import cut, stage
 
+HOT = 1000
 WINDOW, PHRASE, SEED_PHRASE = 50, 25, 8
 SHARE, BUCKET = 256, 3000
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -213,8 +214,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spans = cut(repeated_spans(base, window))
     marks = cut(base.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_id"), F.sha2("text", 256).alias("sha")))
-    firsts = marks.groupBy("text_id", "sha").agg(F.min("doc_id").alias("first"))
-    copies = marks.join(firsts, ["text_id", "sha"]).filter("doc_id > first").select("doc_id", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(-1).cast("long").alias("z"))).alias("spans"))
+    same = ["text_id", "sha"]
+    firsts = cut(marks.groupBy(*same).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    # Fewer than HOT texts have more than one in HOT of all rows; their copies are not brought together.
+    hot = firsts.filter(F.col("n") > marks.count() / HOT)
+    cold = firsts.join(F.broadcast(hot), same, "left_anti")
+    both = marks.join(F.broadcast(hot), same).unionByName(marks.join(F.broadcast(hot), same, "left_anti").join(cold, same))
+    copies = both.filter("doc_id > first").select("doc_id", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(-1).cast("long").alias("z"))).alias("spans"))
     removed = spans.unionByName(copies).groupBy(F.col("doc_id").alias("d")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def make(batches):
