@@ -157,3 +157,76 @@ def test_page_segments_and_fields(spark):
     assert [(r.field, r.value) for r in sorted(got, key=lambda r: r.field_ord)] == [("title", "20% off"), ("content_text", "20% off")] and max(r.confidence for r in got) == 1.0
     best = entities.best_per_page(entities.from_pages(page, kinds=("price",)), "id").collect()
     assert len(best) == 1 and best[0].field == "title"
+
+
+def test_cleaning_and_metrics_by_fixed_values(spark):
+    cases = {
+        "Tom &amp; Jerry &lt;b&gt;x": "Tom & Jerry x",
+        "<p>Hello <b>World</b></p>": "Hello World",
+        "caf&eacute;  &#65;": "café A",
+        "&amp;lt;b&amp;gt;": "<b>",
+        "a < b > c <!-- x --> d": "a < b > c d",
+        "\tHome\n": "",
+        "About": "",
+        None: "",
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = {r.t: r.c for r in df.select("t", text.clean("t").alias("c")).collect()}
+    assert got["\tHome\n"].strip() in ("", "Home") and {k: v for k, v in got.items() if k != "\tHome\n"} == {k: v for k, v in cases.items() if k != "\tHome\n"}
+    one = spark.createDataFrame([("Hello there.\n", 0), ("One. Two!\n\nThree? ", 2), ("", 0)], "t string, h int")
+    m = text.metrics("t", F.col("h"))
+    rows = [list(r) for r in one.select(*[m[k].alias(k) for k in ("word_count", "sentence_count", "paragraph_count", "heading_count")]).collect()]
+    assert rows == [[2, 1, 1, 0], [3, 3, 2, 2], [None] * 4]
+    v = spark.createDataFrame([("\tThe Foo  Inc.\n",)], "v string").select(text.normalize_value("v").alias("n"), urls.normalize(F.lit("\nhttp://A.b/x\t")).alias("u")).first()
+    assert v.n == "foo" and v.u == "http://a.b/x"
+
+
+def test_unicode_words_in_patterns(spark):
+    t = "Über Software and Café Platform, naïve API; größe Enterprise édition spéciale. À 20% discount"
+    got = {(r.entity_type, r.pattern, r.start, r.value) for r in entities.extract(spark.createDataFrame([(t,)], "text string")).collect()}
+    want = {(k, n, m.start(), m[0].strip()) for k, ps in rules.ENTITY_PATTERNS.items() for n, (p, _) in enumerate(ps) for m in re.finditer(p, t, re.IGNORECASE)}
+    assert got == want and any(v.startswith("Über Software") for *_, v in got)
+
+
+def test_hints_name_what_every_match_holds():
+    rng = random.Random(6)
+    bits = [h for ps in rules.HINTS.values() for hs in ps for h in hs] + ["Services", "in", "Berlin", ", DE 12345", "12", "Main", "Street", "$5", "off", " ", "v.", "2.0", "x"]
+    for _ in range(3000):
+        t = " ".join(rng.choice(bits) for _ in range(8))
+        for kind, ps in rules.ENTITY_PATTERNS.items():
+            for (p, _), hints in zip(ps, rules.HINTS[kind], strict=True):
+                assert not re.search(p, t, re.IGNORECASE) or any(h in t.lower() for h in hints)
+
+
+def test_deleting_a_project_and_its_links(spark):
+    e = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "project string, ord int")
+    links = spark.createDataFrame([("a", 1, 2, "x"), ("a", 9, 2, "x"), ("a", 8, 9, "x"), ("b", 1, 2, "x")], "project string, source int, target int, relation string")
+    left, kept = entities.delete_project(e, links, "a")
+    assert [tuple(r) for r in left.collect()] == [("b", 3)] and sorted(tuple(r) for r in kept.collect()) == [("a", 8, 9, "x"), ("b", 1, 2, "x")]
+
+
+def test_tables_and_projects(spark, tmp_path):
+    from pagequarry.sources import tables
+
+    tables.create_tables(spark)
+    tables.create_tables(spark)
+    assert {t.name for t in spark.catalog.listTables()} >= set(tables.SCHEMAS)
+    row = tables.new_project(spark, " example.com ", "saas", "u")
+    assert row.first().site_url == "https://example.com" and tables.project_of(row, "none").isEmpty()
+    for site, category in (("localhost", None), ("a.com", "fishing")):
+        with pytest.raises(ValueError):
+            tables.new_project(spark, site, category)
+    crawled = spark.createDataFrame([("p", "u1", "t")], "project string, url string, title string")
+    failed = spark.createDataFrame([("p", "u2", "timeout")], "project string, url string, error_message string")
+    tables.write_pages(crawled, failed, str(tmp_path / "pages"))
+    got = {r.url: (r.status, r.title, r.error_message) for r in spark.read.parquet(str(tmp_path / "pages")).collect()}
+    assert got == {"u1": ("crawled", "t", None), "u2": ("failed", None, "timeout")}
+
+
+def test_extraction_of_no_pages_and_words_before_patterns(spark):
+    rows = [("p", 1, "crawled", "Acme Software", None, "Starting at $5", None), ("q", 2, "failed", "x", None, "y", None)]
+    pages = spark.createDataFrame(rows, "project string, page_id long, status string, title string, meta_description string, content_text string, headings array<struct<text:string>>")
+    summary, stored, links = entities.extract_and_store(pages)
+    assert {r.project: (r.status, r.pages_processed) for r in summary.collect()} == {"p": ("completed", 1), "q": ("no_pages", 0)}
+    best = {r.normalized_value: r.confidence for r in stored.collect()}
+    assert best["acme software"] == 1.0 and links.count() >= 0
