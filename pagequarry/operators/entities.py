@@ -187,7 +187,8 @@ def ruled(df: DataFrame, column: str = "text") -> DataFrame:
     keep = [c for c in df.columns if c != column]
     rows = df.select(*keep, clean(F.col(column)).alias("_clean"))
     one = lambda i, label: lambda x: F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), x["start"].alias("start"), x["hit"].alias("value"))
-    found = [F.when(F.col("_clean").rlike(p), F.transform(spans(F.col("_clean"), p), one(i, label))).otherwise(F.array().cast("array<struct<rule:int,label:string,start:int,value:string>>")) for i, (label, p) in enumerate(RULER)]
+    rules_ = [(label, f"(?U){p}") for label, p in RULER]  # words end as in Unicode
+    found = [F.when(F.col("_clean").rlike(p), F.transform(spans(F.col("_clean"), p), one(i, label))).otherwise(F.array().cast("array<struct<rule:int,label:string,start:int,value:string>>")) for i, (label, p) in enumerate(rules_)]
     return rows.select(*keep, F.explode(F.concat(*found)).alias("r")).select(*keep, "r.*")
 
 

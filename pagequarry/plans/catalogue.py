@@ -406,7 +406,8 @@ ORACLE_SQL: dict[str, str] = {
         n AS (SELECT project, count(*) AS n FROM (SELECT DISTINCT project, doc_id, {_NORMAL} FROM f) GROUP BY project)
         SELECT project, CASE WHEN count_if(doc_id % 10 <> 3) > 0 THEN 'completed' ELSE 'no_pages' END AS status, CAST(count_if(doc_id % 10 <> 3) AS BIGINT) AS pages_processed, CAST(coalesce(max(n.n), 0) AS BIGINT) AS entities_extracted
         FROM (SELECT source AS project, doc_id FROM documents) LEFT JOIN n USING (project) GROUP BY project""",
-    "ruled_entities": f"WITH o AS (SELECT doc_id, {_clean_sql("text")} AS text FROM ({_OFFERS})) " + " UNION ALL ".join(f"SELECT doc_id, {i} AS rule, '{k}' AS label, unnest(regexp_extract_all(text, '{p}')) AS value FROM o" for i, (k, p) in enumerate(rules.RULER)),
+    # No rule has a letter beyond ASCII; such letters count as parts of words here.
+    "ruled_entities": f"WITH o AS (SELECT doc_id, regexp_replace({_clean_sql("text")}, '[^\\x00-\\x7F]', '_', 'g') AS text FROM ({_OFFERS})) " + " UNION ALL ".join(f"SELECT doc_id, {i} AS rule, '{k}' AS label, unnest(regexp_extract_all(text, '{p}')) AS value FROM o" for i, (k, p) in enumerate(rules.RULER)),
     "content_metrics": r"""
         WITH m AS (SELECT doc_id, text, len([w FOR w IN regexp_split_to_array(text, '[\s\x0B\x1c-\x1f\x85\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+') IF w <> '']) AS w, len([s FOR s IN regexp_split_to_array(text, '[.!?]+') IF regexp_matches(s, '\S')]) AS s FROM documents WHERE text <> '')
         SELECT doc_id, w AS word_count, length(text) AS character_count, s AS sentence_count, len(string_split(text, chr(10) || chr(10))) AS paragraph_count, 0::BIGINT AS heading_count, round(CASE WHEN s > 0 THEN w / s::DOUBLE ELSE 0 END, 6) AS avg_words_per_sentence, round(w / 200.0::DOUBLE, 6) AS reading_time_minutes FROM m
