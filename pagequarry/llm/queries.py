@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagequarry.llm import oracle
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -101,6 +103,13 @@ def op10_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> D
     return pack(_table(spark, sf_dir, "documents"), path or public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagequarry.llm.merkle import fold, manifest, proof
+
+    found = manifest(_table(spark, sf_dir, "documents")).withColumn("folded_root", fold(F.col("altered"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_toxicity": op2_toxicity,
@@ -112,6 +121,7 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_matroska": op9_matroska,
     "op10_packing": op10_packing,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -147,4 +157,5 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op12_merkle_manifest": oracle.merkle_manifest(),
 }
