@@ -46,3 +46,53 @@ def merkle_manifest(levels: int = 8, upper: int = 2) -> str:
         ), {_tree("u", "v", "one", upper)}
         SELECT doc_id, leaf, subroot, h AS root, sha256(sib) AS proof_sha256, f AS folded_root, f = h AS verified FROM v{upper}
     """
+
+
+def url_filters(steps: int = 20) -> str:
+    low = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host = lambda x: low(f"regexp_extract({x}, '^(?s:.*?)://([^/?#]*)', 1)")
+    mass, on, part = 10**15, 85, 10
+    link = r"""(?i)<a[ \t\r\n\f](?:[^<>]*[ \t\r\n\f"''])?href[ \t\r\n\f]*=[ \t\r\n\f]*["'']?[ \t\r\n\f]*((?:[a-z][a-z0-9+.-]*:)?//[^"''<> \t\r\n\f]*)"""
+    rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+    values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rules)
+    rounds = "".join(
+        f""", r{k + 1} AS MATERIALIZED (
+            SELECT kind, host, seed, seed * {100 - on} // 100 + coalesce((SELECT sum(m.mass * {on} // 100 // w.degree) FROM w JOIN r{k} m ON m.kind = w.kind AND m.host = w.a WHERE w.kind = n.kind AND w.b = n.host), 0) AS mass
+            FROM r{k} n
+        )"""
+        for k in range(steps)
+    )
+    return f"""
+        WITH p AS (
+            SELECT page_id, html, coalesce({host("url")}, '') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+        ), rules(h, p, v) AS (VALUES {values}), x AS (
+            SELECT DISTINCT host, path FROM p
+        ), f AS (
+            SELECT host, path, arg_max(h || rules.p, length(h || rules.p)) AS rule, arg_max(v, length(h || rules.p)) AS v
+            FROM x JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, rules.p) GROUP BY ALL
+        ), seeds AS (
+            SELECT host, count(*) FILTER (v = 'allow') AS allowed, count(*) FILTER (v = 'block') AS blocked
+            FROM p LEFT JOIN f USING (host, path) WHERE host <> '' GROUP BY host
+        ), l AS (
+            SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM p
+        ), e AS (
+            SELECT DISTINCT src, {host("CASE WHEN link LIKE '//%' THEN 'x:' || link ELSE link END")} AS dst FROM l
+        ), way AS (
+            SELECT 'trust' AS kind, src AS a, dst AS b FROM e WHERE src <> '' AND dst <> '' AND src <> dst
+            UNION ALL SELECT 'distrust', dst, src FROM e WHERE src <> '' AND dst <> '' AND src <> dst
+        ), w AS MATERIALIZED (
+            SELECT *, count(*) OVER (PARTITION BY kind, a) AS degree FROM way
+        ), s AS (
+            SELECT 'trust' AS kind, host, allowed AS n FROM seeds UNION ALL SELECT 'distrust', host, blocked FROM seeds
+        ), n AS (
+            SELECT kind, a AS host FROM w UNION SELECT kind, b FROM w UNION SELECT kind, host FROM s
+        ), r0 AS MATERIALIZED (
+            SELECT n.kind, n.host, coalesce(CAST(s.n AS HUGEINT) * {mass} // nullif(sum(s.n) OVER (PARTITION BY n.kind), 0), 0) AS seed, seed AS mass FROM n LEFT JOIN s ON s.kind = n.kind AND s.host = n.host
+        ){rounds}, bad AS (
+            SELECT host FROM r{steps} GROUP BY host
+            HAVING sum(mass) FILTER (kind = 'distrust') > sum(mass) FILTER (kind = 'trust')
+               AND sum(mass) FILTER (kind = 'distrust') > {mass} // ({part} * (SELECT count(DISTINCT host) FROM r0))
+        )
+        SELECT page_id, p.host, p.path, rule, coalesce(v, CASE WHEN p.host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM p LEFT JOIN f ON f.host = p.host AND f.path = p.path
+    """

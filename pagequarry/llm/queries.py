@@ -110,6 +110,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagequarry.llm.url_filters import judged
+
+    return judged(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_toxicity": op2_toxicity,
@@ -122,6 +128,7 @@ QUERIES = {
     "op9_matroska": op9_matroska,
     "op10_packing": op10_packing,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_url_filters": op13_url_filters,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -158,4 +165,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
     "op12_merkle_manifest": oracle.merkle_manifest(),
+    "op13_url_filters": oracle.url_filters(),
 }
