@@ -96,3 +96,46 @@ def url_filters(steps: int = 20) -> str:
         SELECT page_id, p.host, p.path, rule, coalesce(v, CASE WHEN p.host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
         FROM p LEFT JOIN f ON f.host = p.host AND f.path = p.path
     """
+
+
+def conversation_repair() -> str:
+    """The lattice row by row: the least (cost, audit) and the repaired text to each of four states, in a recursion."""
+    least = lambda *xs: f"list_min([{', '.join(xs)}])"
+    go = lambda x, cost, letter, line: f"CASE WHEN {x} IS NOT NULL THEN {{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}', 'r': {x}.r || {line}}} END"
+    user, assistant = (lambda x: go(x, 3, "I", "'user:' || chr(10)")), (lambda x: go(x, 3, "I", "'assistant:' || chr(10)"))
+    kept = lambda x, initial: f"CASE WHEN fault IN (0, 3) AND role[1] = '{initial}' THEN {go(x, 'more', 'K', 'role || chr(58) || text || chr(10)')} END"
+    turned = lambda x, role: f"CASE WHEN fault IN (0, 3) THEN {go(x, '3 + more', 'R', f"'{role}:' || text || chr(10)")} END"
+    gone = lambda x: go(x, 4, "D", "''")
+    inserted = lambda source: f"SELECT *, {least('p3', assistant('p2'))} AS q3 FROM (SELECT *, {least('s2', user('s0'), user('s1'), user('s3'))} AS p2, s3 AS p3 FROM {source})"
+    before_u = least("s0", "s1", "q3")
+    return f"""
+        WITH RECURSIVE c AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                {crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind
+            FROM conversations
+        ), d AS (
+            SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+                CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM c, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) WHERE kind <> 0
+        ), o AS (
+            SELECT *, row_number() OVER w AS i,
+                regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*\\z', 1) AS last, lag(role[1]) OVER w || role[1] AS pair
+            FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+        ), f AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen, CASE WHEN last = '' THEN 1 WHEN seen > 1 THEN 2 WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS more FROM o
+        ), facts AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+                count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+            FROM f GROUP BY conv_id
+        ), s AS (
+            SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': '', 'r': ''}} AS s0, CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, r VARCHAR)) AS s1, s1 AS s2, s1 AS s3 FROM c
+            UNION ALL
+            SELECT conv_id, i, {gone("s0")}, {least(gone("s1"), kept("s0", "s"))}, {least(gone("p2"), kept("before", "u"), turned("before", "user"))}, {least(gone("q3"), kept("p2", "a"), turned("p2", "assistant"))}
+            FROM (SELECT *, {before_u} AS before FROM ({inserted("(SELECT f.*, s0, s1, s2, s3 FROM s JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i + 1)")}))
+        ), best AS (
+            SELECT conv_id, {least("s0", "q3")} AS b FROM ({inserted("(SELECT s.* FROM s LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM s.conv_id WHERE s.i = coalesce(n, 0))")})
+        )
+        SELECT best.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            b.c AS cost, b.a AS audit, sha256(CASE WHEN b.r = '' THEN '' ELSE left(b.r, length(b.r) - 1) END) AS repaired_sha256
+        FROM best LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM best.conv_id
+    """

@@ -103,6 +103,12 @@ def op10_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> D
     return pack(_table(spark, sf_dir, "documents"), path or public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagequarry.llm.conversations import damaged, repair
+
+    return repair(damaged(_table(spark, sf_dir, "conversations")))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagequarry.llm.merkle import fold, manifest, proof
 
@@ -127,6 +133,7 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_matroska": op9_matroska,
     "op10_packing": op10_packing,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_url_filters": op13_url_filters,
 }
@@ -164,6 +171,7 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op11_conversation_repair": oracle.conversation_repair(),
     "op12_merkle_manifest": oracle.merkle_manifest(),
     "op13_url_filters": oracle.url_filters(),
 }
