@@ -58,7 +58,8 @@ class WordTokens:
             mark = chunk[len(core) :]
             if core.isascii() and core[-1:].isalnum():
                 core = core if b"<" in core else core.lower()  # a special token's string counts as it is
-            elif not core or not "0" <= (last := core[-2:].decode(errors="ignore")[-1:]) <= "ɏ" or not last.isalnum():
+            elif not core or not "0" <= (last := core[-2:].decode(errors="ignore")[-1:]) <= "ɏ" or not last.lower()[-1:].isalnum():
+                # A dotted capital I leaves a combining dot in lower case, which goes with the mark.
                 core, mark = chunk, b""
             parts.append((chunk, core, mark))
             if core not in known:

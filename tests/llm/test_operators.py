@@ -411,3 +411,14 @@ def test_pipeline(spark, tmp_path, sample):
         if name == "pii":
             assert out.count() == before.count() and not any(slow_base(r.text) and "email" in slow_base(r.text) for r in out.collect())
         before = out
+
+
+def test_letters_before_marks():
+    """Every letter up to U+024F before each mark that is cut off: alone, after others, twice."""
+    t = Tokenizer.from_file(WORD_BPE)
+    letters = [chr(c) for c in range(0x21, 0x250) if chr(c).isalnum()]
+    odd = [f"{before}{x}{m}" for x in letters for m in ".,!?;:%&*$#" for before in ("", "B", "BİLG")] + [f"{x}{x}..{x}, {x}!?" for x in letters]
+    words = packing.WordTokens(WORD_BPE)
+    for at in range(0, len(odd), 500):
+        some = odd[at : at + 500]
+        assert [x.tolist() for x in words.ids(some)] == [e.ids for e in t.encode_batch(some, add_special_tokens=False)]
