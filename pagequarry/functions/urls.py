@@ -46,6 +46,28 @@ def resolve(base: Column | str, href: Column | str) -> Column:
     )
 
 
+def unquoted(text: Column) -> Column:
+    """Percent-encoded bytes as UTF-8; a percent sign without two hexadecimal digits, and a plus, stay."""
+    sound = F.regexp_replace(F.regexp_replace(text, r"\+", "%2B"), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.when(text.contains("%"), F.coalesce(F.try_url_decode(sound), text)).otherwise(text)
+
+
+def quoted(text: Column) -> Column:
+    """UTF-8 bytes percent-encoded, but for ASCII letters and digits and ``_.-~/``."""
+    out = F.url_encode(text)
+    for mark, is_ in ((r"\+", "%20"), ("%2F", "/"), ("%7E", "~"), (r"\*", "%2A")):
+        out = F.regexp_replace(out, mark, is_)
+    return F.when(text.rlike(r"[^A-Za-z0-9_.\-~/]"), out).otherwise(text)
+
+
+def robots_path(url: Column | str) -> Column:
+    """What a robots rule is held against: the address's path, query and fragment, unquoted and quoted again; ``/`` if there is nothing."""
+    whole = F.regexp_replace(unquoted(F.col(url) if isinstance(url, str) else url), r"[\t\r\n]", "")
+    filled = lambda x: F.when(F.length(x) > 1, x).otherwise("")
+    rest = F.concat(part(whole, 3), filled(part(whole, 4)), filled(part(whole, 5)))
+    return F.when(rest == "", "/").otherwise(quoted(rest))
+
+
 def site(url: Column | str) -> Column:
     """``struct<url,error>`` of a site address as a user types it: with its scheme, or why it is refused."""
     v = strip(url)

@@ -235,14 +235,18 @@ def _address(site: Column, n: Column) -> Column:
     return F.format_string("http://site%d.example/p/%d", site, n)
 
 
-def crawl_pages(spark: SparkSession, d: str) -> DataFrame:
+def _crawled(spark: SparkSession, d: str, queue: bool) -> DataFrame:
     """A site is SITE pages; each links to two others, some of which do not exist. A crawl starts at each site's first page."""
     n = table(spark, d, "pages").select(F.floor(F.col("page_id") / SITE).alias("site"), F.pmod("page_id", F.lit(SITE)).alias("i"))
     edges = n.select("site", "i", F.explode(F.array(F.col("i") * 2 + 1, F.col("i") * 2 + 2)).alias("t")).select(_address(F.col("site"), F.col("i")).alias("url"), _address(F.col("site"), F.col("t")).alias("target"))
     seeds = n.filter("i = 0").select(F.concat(F.lit("site"), "site").alias("project"), _address(F.col("site"), F.col("i")).alias("url"))
     files = n.filter("i = 0").select(F.format_string("site%d.example", "site").alias("host"), F.lit(ROBOTS).alias("text"))
     rules = tables.settled(crawl.robots_rules(files, AGENT))
-    return crawl.crawl(n.select(_address(F.col("site"), F.col("i")).alias("url")), edges, seeds, rules, max_pages=MOST)
+    return crawl.crawl(n.select(_address(F.col("site"), F.col("i")).alias("url")), edges, seeds, rules, max_pages=MOST, queue=queue)
+
+
+def crawl_pages(spark: SparkSession, d: str) -> DataFrame:
+    return _crawled(spark, d, False)
 
 
 AGENT = "quarrybot"
@@ -255,7 +259,7 @@ def robots_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def crawl_progress(spark: SparkSession, d: str) -> DataFrame:
-    return crawl.progress(crawl_pages(spark, d))
+    return crawl.progress(_crawled(spark, d, True))
 
 
 #: States of jobs, by the kind of event that stands for them.
@@ -362,7 +366,7 @@ _CRAWLED = f"""
         SELECT page_id // {SITE}, 0, 0 FROM pages WHERE page_id % {SITE} = 0
         UNION ALL SELECT site, 2 * i + t, depth + 1 FROM r JOIN pages ON page_id = site * {SITE} + i AND i < {SITE}, (VALUES (1), (2)) AS v(t) WHERE 2 * i + t <> {REFUSED}
     ), o AS (
-        SELECT site, 'http://site' || site || '.example/p/' || i AS url, depth, i < {SITE} AND site * {SITE} + i IN (SELECT page_id FROM pages) AS ok FROM r
+        SELECT site, i, 'http://site' || site || '.example/p/' || i AS url, depth, i < {SITE} AND site * {SITE} + i IN (SELECT page_id FROM pages) AS ok FROM r
     ), n AS (
         SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY site ORDER BY depth, url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o
     ), c AS (
@@ -437,7 +441,9 @@ ORACLE_SQL: dict[str, str] = {
         WITH n AS (SELECT l_orderkey AS job_id, CAST(count_if(l_returnflag <> 'R') AS BIGINT) AS c, CAST(count_if(l_returnflag = 'R') AS BIGINT) AS f FROM lineitem GROUP BY l_orderkey)
         SELECT job_id, CASE WHEN status IN ('pending', 'running') AND c IS NOT NULL THEN 'completed' ELSE status END AS status, coalesce(c, 0) AS pages_crawled, coalesce(f, 0) AS pages_failed FROM ({_JOBS}) LEFT JOIN n USING (job_id)""",
     "crawl_pages": _CRAWLED + "SELECT project, url, depth, status FROM c",
-    "crawl_progress": _CRAWLED + "SELECT project, CAST(count_if(status = 'crawled') AS BIGINT) AS pages_crawled, CAST(count_if(status = 'failed') AS BIGINT) AS pages_failed, count(*) AS total_pages_found FROM c GROUP BY project",
+    "crawl_progress": _CRAWLED.rstrip() + f""", q AS (
+            SELECT project, status FROM c UNION ALL SELECT 'site' || n.site, 'queued' FROM n JOIN n p ON p.site = n.site AND p.i = (n.i - 1) // 2 AND p.ok AND p.before < {MOST} WHERE n.before >= {MOST}
+        ) SELECT project, CAST(count_if(status = 'crawled') AS BIGINT) AS pages_crawled, CAST(count_if(status = 'failed') AS BIGINT) AS pages_failed, CAST(count_if(status <> 'failed') AS BIGINT) AS total_pages_found FROM q GROUP BY project""",
     "structured_text": "SELECT p_partkey, p_name || ' | ' || p_type || ' | ' || p_brand AS strings FROM part",
     "category_labels": f"""
         WITH k AS (SELECT c_custkey, {_sql_pick([*rules.CATEGORIES, "fishing"], "c_custkey")} AS kind FROM customer)

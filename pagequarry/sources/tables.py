@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,20 +40,31 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df``'s rows, computed once, from a checkpoint in the folder that spark.checkpoint.dir names.
-
-    Only a local session without that setting (tests) gets a folder of its own.
-    """
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for intermediate rows that spark.checkpoint.dir names; only a local session without that setting (tests) gets one of its own."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and context.getCheckpointDir() is None and context.master.split("[")[0] != "local":
+        raise ValueError("name a shared folder in spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and context.master.split("[")[0] != "local":
-            raise ValueError("name a shared folder in spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagequarry-"))
+    return named or context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df``'s rows, computed once, from a checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df``'s rows, computed once, as Parquet in the shared folder, in folders by the columns ``by`` where given."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_pages(crawled: DataFrame, failed: DataFrame, path: str) -> None:
     """Crawled and failed pages in one table with their ``status``, a folder for each project; what failed ones lack is null."""
     both = crawled.withColumn("status", F.lit("crawled")).unionByName(failed.withColumn("status", F.lit("failed")), allowMissingColumns=True)

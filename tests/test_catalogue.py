@@ -230,3 +230,59 @@ def test_extraction_of_no_pages_and_words_before_patterns(spark):
     assert {r.project: (r.status, r.pages_processed) for r in summary.collect()} == {"p": ("completed", 1), "q": ("no_pages", 0)}
     best = {r.normalized_value: r.confidence for r in stored.collect()}
     assert best["acme software"] == 1.0 and links.count() >= 0
+
+
+def test_robots_against_the_standard_parser(spark):
+    from urllib.robotparser import RobotFileParser
+
+    rng = random.Random(8)
+    bits = ["/", "a", "b c", "~joe", "%7Ejoe", "%7ejoe", "é", "%C3%A9", "+", "*", "?", "q=1", "#f", ";p", "%", "%zz", "%2F", ".html", "&", "x:y"]
+    path = lambda: "".join(rng.choice(bits) for _ in range(rng.randrange(5)))
+    files, asked, want = [], [], {}
+    for i in range(60):
+        lines = ["User-agent: *"] + [f"{rng.choice(['Allow', 'Disallow'])}: /{path()}" if rng.random() < 0.9 else "Disallow:" for _ in range(rng.randrange(4))]
+        files.append((f"h{i}.com", "\n".join(lines)))
+        parser = RobotFileParser()
+        parser.parse(lines)
+        for u in {f"http://h{i}.com{rng.choice(['', '/', '/', '/'])}{path()}" for _ in range(30)}:
+            if re.match(r"http://h\d+\.com($|[/?#])", u) and "//" not in re.sub("%2F", "/", u[7:]):
+                asked.append(("p", u))
+                want[u] = parser.can_fetch("bot", u)
+    rules_ = crawl.robots_rules(spark.createDataFrame(files, "host string, text string"), "bot")
+    got = {r.url for r in crawl.allowed(spark.createDataFrame(asked, "project string, url string"), rules_).collect()}
+    assert {u for u, ok in want.items() if ok} == got and 0.1 < len(got) / len(want) < 0.9
+    gate = spark.createDataFrame([("h.com", "/", False, 0)], "host string, prefix string, allow boolean, ord int")
+    assert crawl.allowed(spark.createDataFrame([("p", "http://h.com")], "project string, url string"), gate).isEmpty()
+
+
+def test_crawl_of_recorded_responses(spark):
+    """Retries, time limits, errors and missing responses; delays by turn; what is found is crawled or queued."""
+    page = lambda *to: "".join(f'<a href="{t}">x</a>' for t in to)
+    rows = [
+        ("http://A.com/", 1, 200, 0.1, page("/b", "/c", "/d", "/e", "http://other.com/"), None),
+        ("http://a.com/b", 1, 500, 0.1, None, None), ("http://a.com/b", 2, 200, 0.1, page("/f"), None), ("http://a.com/b", 1, 500, 0.1, None, None),
+        ("http://a.com/c", 1, 200, 31.0, page("/never"), None),
+        ("http://a.com/d", 1, None, None, None, "reset"), ("http://a.com/d", 2, 404, 0.2, None, None),
+        ("http://a.com/f", 1, 200, 0.1, page("/"), None), ("http://b.com/", 3, 200, 0.1, "late", None), (None, 1, 200, 0.1, "x", None),
+    ]
+    recorded = spark.createDataFrame(rows, "url string, attempt int, status int, seconds double, html string, error string")
+    seeds = spark.createDataFrame([("p", "http://a.com/"), ("q", "http://b.com/")], "project string, url string")
+    got = {(r.project, r.url[7:]): (r.depth, r.status, r.error_message, r.tried, r.due) for r in crawl.crawl_recorded(recorded, seeds, attempts=2, delay=0.5).collect()}
+    assert got == {
+        ("p", "a.com/"): (0, "crawled", None, 1, 0.0), ("p", "a.com/b"): (1, "crawled", None, 2, 0.5), ("p", "a.com/c"): (1, "failed", "timeout", 1, 1.0),
+        ("p", "a.com/d"): (1, "failed", "HTTP 404", 2, 1.5), ("p", "a.com/e"): (1, "failed", "not found", None, 2.0), ("p", "a.com/f"): (2, "crawled", None, 1, 2.5), ("q", "b.com/"): (0, "failed", "not found", None, 0.0),
+    }
+    few = crawl.crawl_recorded(recorded, seeds, attempts=2, max_pages=1)
+    assert {tuple(r) for r in crawl.progress(few).collect()} == {("p", 1, 0, 5), ("q", 0, 1, 0)}
+    assert {r.due for r in few.filter("status = 'queued'").collect()} == {None}
+
+
+def test_crawl_in_parts_reads_the_same(spark, monkeypatch):
+    monkeypatch.setattr(crawl, "PART_ROWS", 5)
+    edges = [(f"http://h{i % 7}/{i}", f"http://h{i % 7}/{j}") for i in range(80) for j in (i * 2 + 7, i + 7)]
+    have = spark.createDataFrame([(u,) for u in {u for u, _ in edges}], "url string")
+    seeds = spark.createDataFrame([(f"p{i}", f"http://h{i}/{i}") for i in range(7)], "project string, url string")
+    links = spark.createDataFrame(edges, "url string, target string")
+    many = {tuple(r) for r in crawl.crawl(have, links, seeds, max_pages=9, queue=True).collect()}
+    monkeypatch.setattr(crawl, "PART_ROWS", 10**6)
+    assert many == {tuple(r) for r in crawl.crawl(have, links, seeds, max_pages=9, queue=True).collect()} and len(many) > 80
