@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pagequarry.functions.rules import BASE_CONFIDENCE, ENTITY_PATTERNS, FIELD_BONUS, HINTS, NAME_PHRASES, NAMED_FIELD_BONUS, NAMED_PRODUCT, PRICE_PHRASES, RULER
 from pagequarry.functions.text import clean, heading_text, normalize_value, similarity, strip, words
-from pagequarry.sources.tables import settled, unused
+from pagequarry.sources.tables import settled, stored, unused
 
 #: The fields of a page that are searched, in order.
 FIELDS = ("title", "meta_description", "content_text", "headings")
@@ -27,6 +28,11 @@ def spans(text: Column, pattern: str) -> Column:
     return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,hit:string>>").alias("out")), step, lambda acc: acc["out"])
 
 
+def _kept(df: DataFrame, *gone: str) -> list[str]:
+    """The columns of ``df`` that pass through: not those that are used up, nor those that are replaced, whatever their case."""
+    return [c for c in df.columns if c.lower() not in {g.lower() for g in gone}]
+
+
 def _found(text: Column, kind: str, number: int, pattern: str, confidence: float):
     around = lambda x: F.trim(F.substring(text, F.greatest(x["start"] - 49, F.lit(1)), F.least(x["start"], F.lit(50)) + F.length(x["hit"]) + 50))
     return lambda x: F.struct(
@@ -35,9 +41,9 @@ def _found(text: Column, kind: str, number: int, pattern: str, confidence: float
 
 
 def extract(df: DataFrame, column: str = "text", field: str = "content_text", least: float = 0.5, kinds: tuple[str, ...] = tuple(ENTITY_PATTERNS)) -> DataFrame:
-    """``df`` without the text, one row per match: entity_type, pattern, start, value, confidence, context."""
+    """``df`` without the text, one row per match: entity_type, pattern, start, value, confidence, context, which replace columns of these names."""
     # The lower-case text shows cheaply which patterns can match at all; a long s counts as one there.
-    low, = unused(df, "low")
+    low, e = unused(df, "low", "hit")
     df = df.withColumn(low, F.translate(F.lower(column), "ſ", "s"))
     text, parts = F.col(column), []
     for kind in kinds:
@@ -48,8 +54,16 @@ def extract(df: DataFrame, column: str = "text", field: str = "content_text", le
                 none = F.array().cast("array<struct<entity_type:string,pattern:int,start:int,value:string,confidence:double,context:string>>")
                 hinted = reduce(lambda a, b: a | b, [F.col(low).contains(h) for h in HINTS[kind][number]])
                 parts.append(F.when(hinted & text.rlike(rule), F.transform(spans(text, rule), _found(text, kind, number, rule, confidence))).otherwise(none))
-    keep = [c for c in df.columns if c not in (column, low)]
-    return df.select(*keep, F.explode(F.concat(*parts)).alias("e")).select(*keep, "e.*")
+    keep = _kept(df, column, low, "entity_type", "pattern", "start", "value", "confidence", "context")
+    return df.select(*keep, F.explode(F.concat(*parts)).alias(e)).select(*keep, f"{e}.*")
+
+
+def _field(pages: DataFrame, name: str) -> Column:
+    """A field's text; headings, which are texts or structs with a text, are joined."""
+    if name != "headings":
+        return F.col(name)
+    texts = isinstance(pages.schema[name].dataType.elementType, StringType)
+    return heading_text(F.col(name) if texts else name, " ")
 
 
 def from_pages(pages: DataFrame, least: float = 0.5, kinds: tuple[str, ...] = tuple(ENTITY_PATTERNS)) -> DataFrame:
@@ -58,9 +72,9 @@ def from_pages(pages: DataFrame, least: float = 0.5, kinds: tuple[str, ...] = tu
     ``headings`` are texts or structs with a text. A find's confidence is held against ``least`` with its
     field's bonus, before it is limited to 1. Other columns pass through; blank fields give no rows.
     """
-    fields = [F.struct(F.lit(n).alias("field"), F.lit(i).alias("field_ord"), (heading_text("headings", " ") if n == "headings" else F.col(n)).alias("text")) for i, n in enumerate(FIELDS)]
-    keep = [c for c in pages.columns if c not in FIELDS]
-    rows = pages.select(*keep, F.explode(F.array(*fields)).alias("f")).select(*keep, "f.*").filter(strip("text") != "")
+    keep, (one,) = _kept(pages, *FIELDS, "field", "field_ord", "text"), unused(pages, "one")
+    fields = [F.struct(F.lit(n).alias("field"), F.lit(i).alias("field_ord"), _field(pages, n).alias("text")) for i, n in enumerate(FIELDS)]
+    rows = pages.select(*keep, F.explode(F.array(*fields)).alias(one)).select(*keep, f"{one}.*").filter(strip("text") != "")
     bonus = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in FIELD_BONUS.items() for x in kv]), "field"), F.lit(0.0))
     found = extract(rows, field="", least=0.0, kinds=kinds).withColumn("confidence", F.col("confidence") + bonus)
     return found.filter(F.col("confidence") >= least).withColumn("confidence", F.least("confidence", F.lit(1.0)))
@@ -71,38 +85,41 @@ def named_products(df: DataFrame, column: str = "text", field: str = "content_te
 
     Confidence starts at 0.7 and grows with the field and with a capital at the start; all have two words or more.
     """
-    keep = [c for c in df.columns if c != column]
-    rows = df.select(*keep, F.explode(spans(clean(F.col(column)), f"(?i){NAMED_PRODUCT}")).alias("s"))
-    sure = F.lit(0.8 + NAMED_FIELD_BONUS.get(field, 0.0)) + F.when(F.rlike("s.hit", F.lit(r"^\p{Lu}")), 0.1).otherwise(0.0)
-    return rows.select(*keep, F.lit("product").alias("entity_type"), F.col("s.start").alias("start"), F.col("s.hit").alias("value"), F.least(sure, F.lit(1.0)).alias("confidence"))
+    keep, (s,) = _kept(df, column, "entity_type", "start", "value", "confidence"), unused(df, "span")
+    rows = df.select(*keep, F.explode(spans(clean(F.col(column)), f"(?i){NAMED_PRODUCT}")).alias(s))
+    sure = F.lit(0.8 + NAMED_FIELD_BONUS.get(field, 0.0)) + F.when(F.rlike(f"{s}.hit", F.lit(r"^\p{Lu}")), 0.1).otherwise(0.0)
+    return rows.select(*keep, F.lit("product").alias("entity_type"), F.col(f"{s}.start").alias("start"), F.col(f"{s}.hit").alias("value"), F.least(sure, F.lit(1.0)).alias("confidence"))
 
 
 def best_per_page(found: DataFrame, page: str) -> DataFrame:
     """One row per page, normal value and type: the most confident, then the first."""
     order = [c for c in ("field_ord", "pattern", "start") if c in found.columns]
-    w = W.partitionBy(page, "normalized_value", "entity_type").orderBy(F.desc("confidence"), *order)
-    return found.withColumn("normalized_value", normalize_value("value")).withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+    rows = found.withColumn("normalized_value", normalize_value("value"))
+    keys = [page, "normalized_value", "entity_type"]
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("confidence", *[-F.col(c) for c in order])).alias("_best"))
+    return best.select([F.col(f"_best.{c}") if c in rest else F.col(c) for c in rows.columns])
 
 
 def prices(df: DataFrame, column: str = "text") -> DataFrame:
     """One row per price phrase: value, subtype, confidence."""
-    return _phrases(df, column, [(f"(?i){p}", k, c) for p, k, c in PRICE_PHRASES])
+    return _phrases(df, column, [(f"(?iU){p}", k, c) for p, k, c in PRICE_PHRASES])
 
 
 def product_names(df: DataFrame, column: str = "text") -> DataFrame:
     """One row per product-name phrase whose core name has over two characters: value, core_name, subtype, confidence."""
-    rows = _phrases(df, column, [(p, k, 0.7) for p, k in NAME_PHRASES], core=True)
+    rows = _phrases(df, column, [(f"(?U){p}", k, 0.7) for p, k in NAME_PHRASES], core=True)
     return rows.filter(F.length("core_name") > 2)
 
 
 def _phrases(df: DataFrame, column: str, phrases: list, core: bool = False) -> DataFrame:
     text = F.col(column)
-    keep = [c for c in df.columns if c != column]
+    keep, (one,) = _kept(df, column, "value", "core_name", "subtype", "confidence"), unused(df, "phrase")
     arrays = []
     for pattern, kind, confidence in phrases:
         both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 0).alias("v"), F.regexp_extract_all(text, F.lit(pattern), 1).alias("c"))
         arrays.append(F.transform(both, _phrase(kind, confidence)))
-    out = df.select(*keep, F.explode(F.concat(*arrays)).alias("p")).select(*keep, "p.*")
+    out = df.select(*keep, F.explode(F.concat(*arrays)).alias(one)).select(*keep, f"{one}.*")
     return out if core else out.drop("core_name")
 
 
@@ -140,7 +157,52 @@ def confidence_bands(entities: DataFrame) -> DataFrame:
     return entities.groupBy("project").agg(F.count_if(F.col("confidence") >= 0.8).alias("high"), F.count_if(F.col("confidence") >= 0.5).alias("medium"), F.count("*").alias("low"))
 
 
-# Relations from an earlier entity of one type to a later one of another.
+def overview(entities: DataFrame) -> DataFrame:
+    """Totals of each project, with a null type, and of each of its types, in one pass: ``(project, entity_type, whole, total, avg_confidence, high, medium, low)``.
+
+    ``whole`` tells a project's total from a type that is null.
+    """
+    bands = [F.count_if(F.col("confidence") >= least).alias(n) for n, least in (("high", 0.8), ("medium", 0.5), ("low", 0.0))]
+    p, t = F.col("project"), F.col("entity_type")
+    sets = entities.groupingSets([[p], [p, t]], p, t).agg(F.grouping("entity_type").alias("whole"), F.count("*").alias("total"), F.round(F.avg("confidence").cast("decimal(18,9)"), 2).cast("double").alias("avg_confidence"), *bands)
+    return sets.select("project", "entity_type", (F.col("whole") == 1).alias("whole"), "total", "avg_confidence", "high", "medium", "low")
+
+
+#: How many entities a page has at most.
+MOST = 200
+
+
+def cluster(entities: DataFrame, path: str, files: int | None = None) -> DataFrame:
+    """``entities`` as Parquet in the order of the list, by project, confidence and id, so that a page's filter leaves most files and row groups unread."""
+    order = [F.col("project"), F.desc("confidence"), F.col("entity_id")]
+    dealt = entities.repartitionByRange(files, *order) if files else entities.repartitionByRange(*order)
+    dealt.sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+    return entities.sparkSession.read.schema(entities.schema).parquet(path)
+
+
+def list_page(entities: DataFrame, project: str, kind: str | None = None, least: float = 0.0, limit: int = 50, after: tuple[float, str] | None = None) -> DataFrame:
+    """One page of a project's entities by confidence, ties by ``entity_id``: those that follow ``after``, the last page's last confidence and id.
+
+    Limits are held between 1 and MOST. Rows of earlier pages are neither sorted nor, in a clustered table, read.
+    """
+    rows = entities.filter((F.col("project") == project) & (F.col("confidence") >= least))
+    rows = rows if kind is None else rows.filter(F.col("entity_type") == kind)
+    if after is not None:
+        confidence, id_ = after
+        rows = rows.filter(F.col("confidence") <= confidence).filter((F.col("confidence") < confidence) | (F.col("entity_id") > id_))
+    return rows.orderBy(F.desc("confidence"), "entity_id").limit(max(1, min(MOST, limit)))
+
+
+def listed(entities: DataFrame, project: str, kind: str | None = None, least: float = 0.0, limit: int = 50, after: tuple[float, str] | None = None) -> tuple[list, int, tuple[float, str] | None]:
+    """A page's rows, how many there are in all, and what the next page comes after; None after the last."""
+    rows = list_page(entities, project, kind, least, limit, after).collect()
+    own = entities.filter((F.col("project") == project) & (F.col("confidence") >= least))
+    total = (own if kind is None else own.filter(F.col("entity_type") == kind)).count()
+    return rows, total, ((rows[-1]["confidence"], rows[-1]["entity_id"]) if len(rows) == max(1, min(MOST, limit)) else None)
+
+
+# Relations from an earlier entity of one type to a later one of another. With a space for a
+# line below it, a relation's name is what its description says.
 RELATIONS = [("brand", "product", "offers", 0.7), ("product", "feature", "has_feature", 0.6), ("service", "location", "available_in", 0.5)]
 
 
@@ -169,6 +231,48 @@ def relations(entities: DataFrame, least: float = 0.8) -> DataFrame:
     return out.unionByName(alike.select("project", "source", "target", F.lit("similar").alias("relation"), "confidence"))
 
 
+def relation_ranges(entities: DataFrame) -> DataFrame:
+    """The typed relations of ``relations`` without their pairs: ``(project, source, relation, confidence, target_type, first, n)``.
+
+    A source is related to the ``n`` entities of the type that come after it in the project; these are its type's numbers ``first`` and up, counted
+    from 0 by ord. There is one row an entity at most. Entities are numbered by ranges: what a range holds of each type is counted, and
+    the counts of the ranges before are added, so that no task orders a whole project.
+    """
+    kinds = sorted({t for _, t, *_ in RELATIONS})
+    e = entities.select("project", "ord", "entity_type")
+    dealt = stored(e.repartitionByRange("project", "ord").withColumn("range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("project", "range").agg(*[F.count_if(F.col("entity_type") == t).alias(t) for t in kinds])
+    up_to = W.partitionBy("project").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select("project", "range", *[F.coalesce(F.sum(t).over(up_to), F.lit(0)).alias(f"{t}_before") for t in kinds], *[F.sum(t).over(W.partitionBy("project")).alias(f"{t}_all") for t in kinds])
+    inside = W.partitionBy("project", "range").orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = dealt.select("*", *[F.count_if(F.col("entity_type") == t).over(inside).alias(f"{t}_in") for t in kinds]).join(counts, ["project", "range"])
+    out = F.lit(None)
+    for s, t, r, c in RELATIONS:
+        first = F.col(f"{t}_before") + F.col(f"{t}_in")
+        one = F.struct(F.lit(r).alias("relation"), F.lit(c).alias("confidence"), F.lit(t).alias("target_type"), first.alias("first"), (F.col(f"{t}_all") - first).alias("n"))
+        out = F.when(F.col("entity_type") == s, one).otherwise(out)
+    return rows.select("project", F.col("ord").alias("source"), out.alias("r")).select("project", "source", "r.*").filter("n > 0")
+
+
+def expanded(ranges: DataFrame, entities: DataFrame) -> DataFrame:
+    """The pairs of some ``relation_ranges`` with their texts: ``(project, source, target, relation, confidence, description)``."""
+    e = entities.select("project", "ord", "entity_type", "value")
+    kinds = sorted({t for _, t, *_ in RELATIONS})
+    targets = e.filter(F.col("entity_type").isin(kinds)).withColumn("number", F.row_number().over(W.partitionBy("project", "entity_type").orderBy("ord")) - 1)
+    a, b = ranges.alias("a"), targets.alias("b")
+    pairs = a.join(b, F.expr("a.project = b.project and a.target_type = b.entity_type and b.number >= a.first")).select("a.project", "a.source", F.col("b.ord").alias("target"), "a.relation", "a.confidence")
+    return described(pairs, entities)
+
+
+def described(pairs: DataFrame, entities: DataFrame) -> DataFrame:
+    """``pairs(project, source, target, relation, ...)`` with a ``description`` for readers."""
+    v = lambda end, name: entities.select("project", F.col("ord").alias(end), F.col("value").alias(name))
+    a, b = unused(pairs, "source_value", "target_value")
+    both = pairs.join(v("source", a), ["project", "source"]).join(v("target", b), ["project", "target"])
+    said = F.when(F.col("relation") == "similar", F.concat(F.lit("Similar entities: "), F.col(a), F.lit(" and "), F.col(b))).otherwise(F.concat(F.col(a), F.lit(" "), F.translate("relation", "_", " "), F.lit(" "), F.col(b)))
+    return both.select(*pairs.columns, said.alias("description"))
+
+
 def new_relations(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.join(known, ["project", "source", "target", "relation"], "left_anti")
 
@@ -184,12 +288,13 @@ def delete_project(entities: DataFrame, links: DataFrame, project: str) -> tuple
 
 def ruled(df: DataFrame, column: str = "text") -> DataFrame:
     """One row per match of the seven rules over neighbouring words in the cleaned text: rule, label, start, value."""
-    keep = [c for c in df.columns if c != column]
-    rows = df.select(*keep, clean(F.col(column)).alias("_clean"))
+    keep = _kept(df, column, "rule", "label", "start", "value")
+    c, r = unused(df, "_clean", "_rule")
+    rows = df.select(*keep, clean(F.col(column)).alias(c))
     one = lambda i, label: lambda x: F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), x["start"].alias("start"), x["hit"].alias("value"))
     rules_ = [(label, f"(?U){p}") for label, p in RULER]  # words end as in Unicode
-    found = [F.when(F.col("_clean").rlike(p), F.transform(spans(F.col("_clean"), p), one(i, label))).otherwise(F.array().cast("array<struct<rule:int,label:string,start:int,value:string>>")) for i, (label, p) in enumerate(rules_)]
-    return rows.select(*keep, F.explode(F.concat(*found)).alias("r")).select(*keep, "r.*")
+    found = [F.when(F.col(c).rlike(p), F.transform(spans(F.col(c), p), one(i, label))).otherwise(F.array().cast("array<struct<rule:int,label:string,start:int,value:string>>")) for i, (label, p) in enumerate(rules_)]
+    return rows.select(*keep, F.explode(F.concat(*found)).alias(r)).select(*keep, f"{r}.*")
 
 
 def extracted(pages: DataFrame, least: float = 0.5, kinds: tuple[str, ...] = tuple(ENTITY_PATTERNS)) -> DataFrame:
@@ -203,8 +308,7 @@ def extracted(pages: DataFrame, least: float = 0.5, kinds: tuple[str, ...] = tup
     columns = [*keep, "field", "field_ord", "engine", "kind", "pattern", "entity_type", "start", "value", "confidence", "context"]
     found = by_pattern.select(*columns)
     for i, name in enumerate(FIELDS):
-        text = heading_text("headings", " ") if name == "headings" else F.col(name)
-        named = named_products(pages.select(*keep, text.alias("text")).filter(F.col("text").isNotNull()), field=name).filter(F.col("confidence") >= least)
+        named = named_products(pages.select(*keep, _field(pages, name).alias("text")).filter(F.col("text").isNotNull()), field=name).filter(F.col("confidence") >= least)
         extra = {"field": F.lit(name), "field_ord": F.lit(i), "engine": F.lit(0), "kind": F.lit(0).cast("long"), "pattern": F.lit(0), "context": F.col("value")}
         found = found.unionByName(named.withColumns(extra).select(*columns)) if "product" in kinds else found
     order = F.struct("page_id", "field_ord", "engine", "kind", "pattern", "start")
@@ -219,7 +323,7 @@ def extract_and_store(pages: DataFrame, least: float = 0.5, kinds: tuple[str, ..
     """
     done = pages.filter(F.col("status") == "crawled").drop("status")
     found = settled(extracted(done, least, kinds))
-    stored = settled(store(found.select("project", "entity_type", "value", "confidence", "context", "ord")))
+    kept = store(found.select("project", "entity_type", "value", "confidence", "context", "ord"))
     counted = pages.groupBy("project").agg(F.count_if(F.col("status") == "crawled").alias("pages_processed")).join(found.groupBy("project").agg(F.count("*").alias("entities_extracted")), "project", "left")
     summary = counted.select("project", F.when(F.col("pages_processed") > 0, "completed").otherwise("no_pages").alias("status"), "pages_processed", F.coalesce("entities_extracted", F.lit(0)).cast("long").alias("entities_extracted"))
-    return summary, stored, relations(stored)
+    return summary, kept, relations(kept)

@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from pagequarry.operators.entities import store
+from pagequarry.functions.text import normalize_value
 from pagequarry.sources.tables import settled
 
 #: A project's entities lie in KEYS folders of PROJECTS * KEYS.
 PROJECTS, KEYS, TASKS = 64, 8, 16
 KEY = ["project", "entity_type", "normalized_value"]
-SCHEMA = "project string, entity_type string, normalized_value string, value string, confidence double, context string, frequency long, first_run string, last_run string, entity_id string"
+SCHEMA = "project string, entity_type string, normalized_value string, value string, confidence double, context string, frequency long, first_run string, last_run string, entity_id string, first_ord array<bigint>, best_ord array<bigint>"
 
 
 def folder(projects: int = PROJECTS, keys: int = KEYS) -> Column:
@@ -39,7 +40,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def merged(old: DataFrame, new: DataFrame) -> DataFrame:
     """Stored entities and new ones with their ``run``, one row a project, type and normal value.
 
-    The stored value stands; confidence and context are the new ones only if more confident; frequencies add. A row that the
+    The value is that of the first find by ord, confidence and context those of the most confident, the first if several are;
+    frequencies add. So it makes no difference in which order runs come. A row that the
     new one's run has changed already stays as it is. A null is a value like others.
     """
     a, b = old.alias("a"), new.alias("b")
@@ -47,23 +49,38 @@ def merged(old: DataFrame, new: DataFrame) -> DataFrame:
     for k in KEY:
         same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
     fresh, again = F.col("a.entity_id").isNull(), F.col("b.run").isNull() | (F.col("a.last_run") == F.col("b.run"))
-    surer = F.col("b.confidence") > F.col("a.confidence")
+    surer = (F.col("b.confidence") > F.col("a.confidence")) | ((F.col("b.confidence") == F.col("a.confidence")) & (F.col("b.best_ord") < F.col("a.best_ord")))
+    sooner = F.col("b.first_ord") < F.col("a.first_ord")
+    newer = lambda c, when: F.when(when, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))
     pick = lambda c, changed: F.when(fresh, F.col(f"b.{c}")).when(again, F.col(f"a.{c}")).otherwise(changed).alias(c)
     both = a.join(b, same & (F.col("a.part") == F.col("b.part")), "full_outer")
     of_key = [F.when(fresh, F.col(f"b.{k}")).otherwise(F.col(f"a.{k}")).alias(k) for k in KEY]
     return both.select(
         *of_key,
-        pick("value", F.col("a.value")),
+        pick("value", newer("value", sooner)),
         pick("confidence", F.greatest("a.confidence", "b.confidence")),
-        pick("context", F.when(surer, F.col("b.context")).otherwise(F.col("a.context"))),
+        pick("context", newer("context", surer)),
         pick("frequency", F.col("a.frequency") + F.col("b.frequency")),
         F.coalesce("a.first_run", "b.run").alias("first_run"),
         F.coalesce("b.run", "a.last_run").alias("last_run"),
         F.coalesce("a.entity_id", F.sha2(F.to_json(F.struct(*of_key)).cast("binary"), 256)).alias("entity_id"),
+        pick("first_ord", F.least("a.first_ord", "b.first_ord")),
+        pick("best_ord", newer("best_ord", surer)),
         F.coalesce("a.part", "b.part").alias("part"),
     )
 
 
+def gathered(found: DataFrame) -> DataFrame:
+    """The entities of finds as ``entities.store`` gives them, with the order of the first find and of the most confident."""
+    kind = found.schema["ord"].dataType
+    ord_ = F.array(*[F.col(f"ord.{f.name}").cast("long") for f in kind.fields]) if isinstance(kind, StructType) else F.array(F.col("ord").cast("long"))
+    rows = found.withColumn("_ord", ord_).withColumn("normalized_value", normalize_value("value"))
+    return rows.groupBy(*KEY).agg(
+        F.min_by("value", "_ord").alias("value"), F.max("confidence").alias("confidence"), F.min_by("context", F.struct(-F.col("confidence"), F.col("_ord"))).alias("context"), F.count("*").alias("frequency"),
+        F.min("_ord").alias("first_ord"), F.min_by("_ord", F.struct(-F.col("confidence"), F.col("_ord"))).alias("best_ord"), F.min("run").alias("run"),
+    )
+
+
 def _replace(spark: SparkSession, path: str, ready: str) -> None:
     """Put the folders that ``ready`` holds in the place of the table's, then drop ``ready``."""
     rows = spark.read.schema(f"{SCHEMA}, part int").parquet(ready)
@@ -76,15 +93,15 @@ def _replace(spark: SparkSession, path: str, ready: str) -> None:
 def upsert(spark: SparkSession, path: str, found: DataFrame, run: str | None = None) -> None:
     """Merge ``found(project, entity_type, value, confidence, context, ord)``, a run's finds, into the entities at ``path``.
 
-    ``run`` names the run; without it a column ``run`` of ``found`` names each project's. Runs follow one another, one at a
-    time. Two of them give what one run over both lots of finds gives, the later ones by ``ord`` last. No finds change nothing.
+    ``ord`` is a number or a struct of numbers. ``run`` names the run; without it a column ``run`` of ``found`` names each
+    project's. Runs follow one another, one at a time, in any order; together they give what one run over all their finds gives.
+    Only the last run may be repeated. No finds change nothing.
     """
     ready = f"{path}/ready"
     if exists(spark, f"{ready}/_SUCCESS"):  # what a run that was cut off had merged
         _replace(spark, path, ready)
     rows = found if run is None else found.withColumn("run", F.lit(run))
-    names = rows.groupBy(F.col("project").alias("p")).agg(F.min("run").alias("run"))
-    new = store(rows.drop("run")).join(names, F.col("project").eqNullSafe(F.col("p"))).drop("p", "ord").withColumn("part", folder())
+    new = gathered(rows).withColumn("part", folder())
     new = settled(new)
     parts = [r["part"] for r in new.select("part").distinct().collect()]  # as many as there are folders, at most
     if parts:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +72,38 @@ def write_pages(crawled: DataFrame, failed: DataFrame, path: str) -> None:
     both.write.mode("append").partitionBy("project").parquet(path)
 
 
+#: What goes with a row: a table, its column, and the table of whose ``id`` that is. Parents come first.
+OWNED = [
+    ("crawl_jobs", "project_id", "projects"),
+    ("crawled_pages", "crawl_job_id", "crawl_jobs"),
+    ("page_content_sections", "page_id", "crawled_pages"),
+    ("entities", "project_id", "projects"),
+    ("entity_relations", "entity_id", "entities"),
+    ("entity_relations", "related_entity_id", "entities"),
+]
+
+
+def delete_cascade(frames: dict[str, DataFrame], root: str, gone: DataFrame, owned: list[tuple[str, str, str]] = OWNED, ids: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """What is left of each table when the rows ``gone(id)`` of ``root`` go, and with them all that belong to them.
+
+    ``owned`` lists each table's parents, a table after its parents; ``ids`` names key columns other than ``id``. A table's doomed keys come
+    from its parents' by semi joins, and what is left by anti joins. Rows that belong to nothing stay; null keys belong to nothing.
+    """
+    ids = ids or {}
+    key = lambda t: ids.get(t, "id")
+    doomed = {root: settled(gone.select(F.col(gone.columns[0]).alias("k")).filter("k is not null").distinct())}
+    left = dict(frames)
+    left[root] = frames[root].join(doomed[root], F.col(key(root)) == F.col("k"), "left_anti")
+    for table_ in dict.fromkeys(t for t, _, _ in owned):
+        ends = [(c, doomed[p]) for t, c, p in owned if t == table_ and p in doomed]
+        for column, keys in ends:
+            left[table_] = left[table_].join(keys, F.col(column) == F.col("k"), "left_anti")
+        if ends and any(p == table_ for _, _, p in owned):
+            own = [frames[table_].join(keys, F.col(column) == F.col("k"), "left_semi").select(F.col(key(table_)).alias("k")) for column, keys in ends]
+            doomed[table_] = settled(reduce(DataFrame.unionByName, own).filter("k is not null").distinct())
+    return left
+
+
 def content_list(pages: DataFrame, project: str, page_type: str | None = None, limit: int = 50, offset: int = 0) -> tuple[int, DataFrame]:
     """How many crawled pages a project has of a type, or in all, and one page of their list, the newest first, ties by id."""
     own = pages.filter((F.col("project") == project) & (F.col("status") == "crawled"))

@@ -30,6 +30,10 @@ def test_two_runs_are_one(spark, tmp_path):
     entity_store.upsert(spark, path, frame(b), "r2")
     want = rows(entities.store(frame(a + b)))
     assert rows(entity_store.read(spark, path)) == want
+    other = str(tmp_path / "other")
+    for run, x in (("r2", b), ("r1", a)):
+        entity_store.upsert(spark, other, frame(x), run)
+    assert rows(entity_store.read(spark, other)) == want
     # A repeated run and a run without finds change nothing; a project's own run leaves others' folders alone.
     entity_store.upsert(spark, path, frame(b), "r2")
     entity_store.upsert(spark, path, frame([]), "r3")
