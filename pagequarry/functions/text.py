@@ -89,8 +89,8 @@ def importance(text: Column | str, field: str) -> Column:
     s = F.lit(FIELD_SCORES.get(field, 0.3))
     if field in ("title", "headings"):
         s = s + F.when(F.length(text) < 100, 0.1).otherwise(0.0)
-    s = s + F.when(F.rlike(text, F.lit(r"\b[A-Z][a-z]+\b")), 0.05).otherwise(0.0)
-    s = s + F.when(F.rlike(text, F.lit(r"\$\d+|\d+%|\d+\.\d+")), 0.1).otherwise(0.0)
+    s = s + F.when(F.rlike(text, F.lit(r"(?U)\b[A-Z][a-z]+\b")), 0.05).otherwise(0.0)
+    s = s + F.when(F.rlike(text, F.lit(r"(?U)\$\d+|\d+%|\d+\.\d+")), 0.1).otherwise(0.0)
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit(FIELD_SCORES.get(field, 0.3))).otherwise(F.least(s, F.lit(1.0)))
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.functions import rules, text, urls
+from pagequarry.functions import rules, sql, text, urls
 from pagequarry.operators import classify, crawl, entities, jobs
 from pagequarry.operators.html import parse_pages
-from pagequarry.sources import tables
+from pagequarry.sources import entity_store as stores
+from pagequarry.sources import runs, tables
 from pagequarry.sources.tables import table
+from pagequarry.streaming import entities as merging
 from pagequarry.streaming.pages import classified
 
 #: Pages whose paths and phrases meet the rules, made from the page number in Spark and SQL alike.
@@ -304,12 +309,132 @@ def ruled_entities(spark: SparkSession, d: str) -> DataFrame:
     return entities.ruled(_offers(spark, d)).select("doc_id", "rule", "label", "value")
 
 
+# Stored entities and jobs; folders for them are made in the shared folder.
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{tables.shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def entity_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs over parts, every third in the second; the second's come later."""
+    finds, late = _values(spark, d), F.col("ord") % 3 == 0
+    path = _folder(spark, "store")
+    for run, some in (("first", finds.filter(~late)), ("second", finds.filter(late).withColumn("ord", F.col("ord") + 10**9))):
+        stores.upsert(spark, path, some, run)
+    return stores.read(spark, path).select("project", "entity_type", "normalized_value", "value", "confidence", "context", "frequency", "first_run", "last_run")
+
+
+def entity_overview(spark: SparkSession, d: str) -> DataFrame:
+    return entities.overview(_values(spark, d))
+
+
+def _ids(spark: SparkSession, d: str) -> DataFrame:
+    return _values(spark, d).withColumn("entity_id", F.lpad(F.col("ord").cast("string"), 12, "0"))
+
+
+def entity_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The list of one project from its clustered files, page after page, each after the last row of the one before."""
+    listed = entities.cluster(_ids(spark, d), _folder(spark, "list"))
+    after, out = None, []
+    for number in range(4):
+        page = tables.settled(entities.list_page(listed, "Brand#11", least=0.05, limit=20, after=after).withColumn("page", F.lit(number)))
+        out.append(page)
+        last = page.orderBy("confidence", F.desc("entity_id")).first()
+        if last is None:
+            break
+        after = (last["confidence"], last["entity_id"])
+    return reduce(DataFrame.unionByName, out).select("page", "ord", "confidence")
+
+
+def relation_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return entities.relation_ranges(entities.store(_values(spark, d))).select("project", "source", "relation", "first", "n")
+
+
+def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Two regions go, and with them nations, customers, suppliers, orders and lines; the keys that are left of every table."""
+    owned = [("nation", "n_regionkey", "region"), ("customer", "c_nationkey", "nation"), ("supplier", "s_nationkey", "nation"), ("orders", "o_custkey", "customer"), ("lineitem", "l_orderkey", "orders"), ("lineitem", "l_suppkey", "supplier")]
+    keys = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "orders": "o_orderkey", "lineitem": "l_orderkey"}
+    frames = {t: table(spark, d, t) for t in keys}
+    left = tables.delete_cascade(frames, "region", frames["region"].filter("r_regionkey in (1, 3)").select("r_regionkey"), owned, keys)
+    other = {"lineitem": "l_linenumber"}
+    rows = [left[t].select(F.lit(t).alias("table_name"), F.col(k).cast("long").alias("k1"), (F.col(other[t]) if t in other else F.lit(0)).cast("long").alias("k2")) for t, k in keys.items()]
+    return reduce(DataFrame.unionAll, rows)
+
+
+def job_current(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events stand for the states of the user's job."""
+    rows = _jobs(spark, d).select(F.lit("crawl").alias("kind"), F.lit("p").alias("project"), F.col("project").cast("string").alias("job_id"), F.lit(1).alias("attempt"), "status", F.col("created_at").alias("at"))
+    have = rows.columns
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], runs.STATE).schema if f.name not in have]
+    return runs.current(rows.select("*", *rest)).select("job_id", "status", "created_at", "started_at", "completed_at")
+
+
+# Crawls of the pages' own links, from the responses that pages are.
+
+#: Robots rules of hosts whose names' lengths 3 divides.
+SITE_ROBOTS = "User-agent: *\nAllow: /the\nDisallow: /th\nDisallow: /e\n"
+
+
+def _site_crawl(spark: SparkSession, d: str) -> DataFrame:
+    """Each host is a project, its first address the seed. Every ninth page answers with an error, at the first of two attempts only if its number is even."""
+    pages = table(spark, d, "pages")
+    bad = F.col("page_id") % 9 == 4
+    tries = F.when(bad, F.array(F.struct(F.lit(1).alias("attempt"), F.lit(503).alias("status")), F.struct(F.lit(2).alias("attempt"), F.when(F.col("page_id") % 2 == 0, 200).otherwise(500).alias("status")))).otherwise(F.array(F.struct(F.lit(1).alias("attempt"), F.lit(200).alias("status"))))
+    recorded = pages.select("url", "html", F.explode(tries).alias("t")).select("url", "t.*", F.lit(0.5).alias("seconds"), "html", F.lit(None).cast("string").alias("error"))
+    hosts = pages.select(urls.normalize("url").alias("url"), urls.part("url", 2).alias("project")).groupBy("project").agg(F.min("url").alias("url"))
+    files = hosts.select(F.col("project").alias("host"), F.when(F.length("project") % 3 == 0, SITE_ROBOTS).alias("text"))
+    return crawl.crawl_recorded(recorded, hosts, tables.settled(crawl.robots_rules(files, AGENT)), max_pages=MOST, attempts=2)
+
+
+def site_crawl(spark: SparkSession, d: str) -> DataFrame:
+    return _site_crawl(spark, d).select("project", "url", "depth", "status", "error_message", F.coalesce("tried", F.lit(0)).alias("tried"))
+
+
+def site_progress(spark: SparkSession, d: str) -> DataFrame:
+    return crawl.progress(_site_crawl(spark, d))
+
+
+def sql_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Extraction by SQL text: the table function after LATERAL."""
+    sql.register(spark)
+    return spark.sql("SELECT doc_id, e.pattern, e.value, round(e.confidence, 6) AS confidence FROM {docs}, LATERAL extract_entities(text, 'content_text', 0.5D) e WHERE e.entity_type = 'service'", docs=_offers(spark, d))
+
+
+def page_markup(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as pages with description, keywords, an image, Open Graph, JSON-LD and microdata, and parsed again."""
+    html = F.concat(
+        F.lit('<html><head><meta name="description" content="'), F.col("source"), F.lit('"><meta name="keywords" content="'), F.col("lang"), F.lit('"><meta property="og:title" content="Doc '), F.col("doc_id"),
+        F.lit('"><script type="application/ld+json">{"@type": "Article", "name": "'), F.col("source"), F.lit('"}</script></head><body><img src="/'), F.col("doc_id"), F.lit('.png" alt="'), F.col("lang"),
+        F.lit('"><div itemscope itemtype="http://schema.org/Product"><span itemprop="name">P'), F.col("n_chars"), F.lit("</span></div></body></html>"),
+    )
+    parsed = parse_pages(table(spark, d, "documents").filter("source is not null and lang is not null and n_chars is not null").select("doc_id", F.lit("http://h.com/p").alias("url"), html.alias("html")))
+    ld, m = F.get("json_ld", F.lit(0)), F.get("microdata", F.lit(0))
+    return parsed.select(
+        "doc_id", "meta_description", "meta_keywords", F.get("images", F.lit(0))["src"].alias("image"), F.get("images", F.lit(0))["alt"].alias("alt"), F.try_element_at("open_graph", F.lit("title")).alias("og_title"),
+        F.get_json_object(ld, "$.name").alias("ld_name"), m["type"].alias("item_type"), F.try_element_at(m["properties"], F.lit("name")).alias("item_name"),
+    )
+
+
+def entity_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as a stream of pages, in files by their number, merged into a store batch by batch."""
+    pages = table(spark, d, "documents").select(
+        F.col("source").alias("project"), F.col("doc_id").alias("page_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("crawled_at"), _pick(OFFERS, "doc_id").alias("title"),
+        F.lit(None).cast("string").alias("meta_description"), F.col("text").alias("content_text"), F.array(_pick(OFFERS, "n_chars")).alias("headings"),
+    ).filter("project is not null and page_id is not null")
+    folder, store, checkpoint = (_folder(spark, n) for n in ("pages", "store", "stream"))
+    pages.repartition(4, "page_id").write.parquet(folder)
+    merging.start(spark, folder, store, checkpoint, files=2, kinds=("price",), delay="3650 days").awaitTermination()
+    return stores.read(spark, store).groupBy("project").agg(F.count("*").alias("n_entities"), F.sum("frequency").alias("n_finds"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         url_normalize, url_filter, url_validate, page_title, page_links, page_content, page_classes, page_classify, page_scores, pages_by_type, content_metrics, text_clean, text_split,
         importance_score, entity_values, entity_store, entity_stats, confidence_distribution, entities_page, entity_relations, relation_delete, entities_dedup, prices, product_names, latest_job, active_jobs, content_page,
         page_entities, named_products, structured_text, category_labels, crawl_pages, crawl_progress, finished_jobs, page_categories, site_check, robots_rules, extraction_job, ruled_entities,
+        entity_upsert, entity_overview, entity_pages, relation_ranges, cascade_delete, job_current, site_crawl, site_progress, sql_entities, page_markup, entity_stream,
     )
 } | {f"entities_{k}": _of_kind(k) for k in rules.ENTITY_PATTERNS}
 
@@ -380,6 +505,35 @@ def _page_sql(kind: str, least: float) -> str:
     return f"WITH o AS ({fields}), f AS ({' UNION ALL '.join(parts)}) SELECT doc_id, field, pattern, value, round(least(s, 1.0), 6) AS confidence FROM f WHERE s >= {least}::DOUBLE"
 
 
+_SITES = f"""
+    WITH RECURSIVE u AS (
+        SELECT page_id, html, lower(regexp_extract(url, '^([^:]+)://([^/?#]*)', 1)) || '://' AS scheme, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_replace(url, '#.*$', '') AS w FROM pages
+    ), p AS (
+        SELECT html, scheme, host, CASE WHEN ends_with(w, '?') THEN left(w, length(w) - 1) ELSE w END AS url, page_id % 9 <> 4 OR page_id % 2 = 0 AS ok, CASE WHEN page_id % 9 = 4 THEN 2 ELSE 1 END AS tried FROM u
+    ), have AS (
+        SELECT url, bool_or(ok) AS ok, CASE WHEN bool_or(ok) THEN min(tried) FILTER (ok) ELSE max(tried) END AS tried, arg_min(html, tried) FILTER (ok) AS html, any_value(scheme) AS scheme, any_value(host) AS host FROM p GROUP BY url
+    ), l AS (
+        SELECT url, scheme || host AS root, host, unnest(regexp_extract_all(html, '<a [^>]*href="(/[^"]*)"', 1)) AS h FROM have WHERE ok
+    ), e AS (
+        SELECT DISTINCT url, root || h AS target FROM l WHERE NOT regexp_matches(lower(h), '\\.({"|".join(rules.SKIPPED_SUFFIXES)})$')
+        AND NOT (length(host) % 3 = 0 AND NOT starts_with(h, '/the') AND (starts_with(h, '/th') OR starts_with(h, '/e')))
+    ), s AS (
+        SELECT host AS project, min(url) AS url FROM p GROUP BY host
+    ), g AS (
+        SELECT project, url FROM s WHERE NOT (length(project) % 3 = 0 AND (regexp_matches(url, '://[^/]*/e') OR regexp_matches(url, '://[^/]*/th([^e]|$)')))
+    ), r AS (
+        SELECT project, url, 0 AS depth FROM g
+        UNION SELECT r.project, e.target, depth + 1 FROM r JOIN have h ON h.url = r.url AND h.ok JOIN e ON e.url = r.url WHERE depth < 6
+    ), f AS (
+        SELECT project, url, min(depth) AS depth FROM r GROUP BY ALL
+    ), n AS (
+        SELECT f.*, coalesce(h.ok, false) AS ok, h.tried, h.url IS NOT NULL AS there FROM f LEFT JOIN have h ON h.url = f.url
+    ), o AS (
+        SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY project ORDER BY depth, url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n
+    ), c AS (
+        SELECT project, url, depth, CASE WHEN before >= {MOST} THEN 'queued' WHEN ok THEN 'crawled' ELSE 'failed' END AS status, there, tried FROM o
+    )"""
+_WORDS = "regexp_replace(regexp_replace(text, '[^\\x00-\\x7F\\p{L}\\p{M}\\p{N}]', ' ', 'g'), '[^\\x00-\\x7F]', '_', 'g')"
 _URL = r"'^([^:/?#]+)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$'"
 
 ORACLE_SQL: dict[str, str] = {
@@ -456,6 +610,42 @@ ORACLE_SQL: dict[str, str] = {
     "page_title": r"""
         WITH t AS (SELECT page_id, html, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)
         SELECT page_id, trim(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS title, CAST(len(regexp_extract_all(html, '<h[1-6]>')) AS INTEGER) AS n_headings FROM t""",
+    "entity_upsert": f"""
+        WITH v AS (SELECT *, {_NORMAL} AS normalized_value, CASE WHEN ord % 3 = 0 THEN 2 ELSE 1 END AS run FROM ({_VALUES}))
+        SELECT project, entity_type, normalized_value, arg_min(value, (run, ord)) AS value, max(confidence) AS confidence, arg_max(context, (confidence, -run, -ord)) AS context, count(*) AS frequency,
+            CASE min(run) WHEN 1 THEN 'first' ELSE 'second' END AS first_run, CASE max(run) WHEN 1 THEN 'first' ELSE 'second' END AS last_run FROM v GROUP BY ALL""",
+    "entity_overview": f"""
+        SELECT project, entity_type, entity_type IS NULL AS whole, count(*) AS total, CAST(round(CAST(avg(confidence) AS DECIMAL(18, 9)), 2) AS DOUBLE) AS avg_confidence,
+            CAST(count_if(confidence >= 0.8) AS BIGINT) AS high, CAST(count_if(confidence >= 0.5) AS BIGINT) AS medium, count(*) AS low FROM ({_VALUES}) GROUP BY GROUPING SETS ((project), (project, entity_type))""",
+    "entity_pages": f"""
+        WITH r AS (SELECT ord, confidence, row_number() OVER (ORDER BY confidence DESC, ord) - 1 AS n FROM ({_VALUES}) WHERE project = 'Brand#11' AND confidence >= 0.05)
+        SELECT CAST(n // 20 AS INTEGER) AS page, ord, confidence FROM r WHERE n < 80""",
+    "relation_ranges": f"""
+        WITH e AS ({_STORED}), k AS (SELECT * FROM (VALUES ('brand', 'product', 'offers'), ('product', 'feature', 'has_feature'), ('service', 'location', 'available_in')) AS t(s, t, relation))
+        SELECT a.project, a.ord AS source, k.relation, count(*) FILTER (b.ord < a.ord) AS first, count(*) FILTER (b.ord > a.ord) AS n
+        FROM e a JOIN k ON a.entity_type = k.s JOIN e b ON b.project = a.project AND b.entity_type = k.t GROUP BY ALL HAVING count(*) FILTER (b.ord > a.ord) > 0""",
+    "cascade_delete": """
+        WITH r AS (SELECT r_regionkey AS k FROM region WHERE r_regionkey NOT IN (1, 3)), n AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey IN (SELECT k FROM r)), c AS (SELECT c_custkey AS k FROM customer WHERE c_nationkey IN (SELECT k FROM n)),
+        s AS (SELECT s_suppkey AS k FROM supplier WHERE s_nationkey IN (SELECT k FROM n)), o AS (SELECT o_orderkey AS k FROM orders WHERE o_custkey IN (SELECT k FROM c))
+        SELECT 'region' AS table_name, CAST(k AS BIGINT) AS k1, 0::BIGINT AS k2 FROM r UNION ALL SELECT 'nation', k, 0 FROM n UNION ALL SELECT 'customer', k, 0 FROM c UNION ALL SELECT 'supplier', k, 0 FROM s UNION ALL SELECT 'orders', k, 0 FROM o
+        UNION ALL SELECT 'lineitem', l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT k FROM o) AND l_suppkey IN (SELECT k FROM s)""",
+    "job_current": f"""
+        WITH j AS (SELECT CAST(project AS VARCHAR) AS job_id, status, created_at AS t, list_position(['pending', 'running', 'completed', 'failed'], status) AS n FROM ({_JOBS}))
+        SELECT job_id, arg_max(status, (n, t)) AS status, min(t) AS created_at, min(t) FILTER (status = 'running') AS started_at, CASE WHEN max(n) >= 3 THEN arg_max(t, (n, t)) END AS completed_at FROM j GROUP BY job_id""",
+    "site_crawl": _SITES + """ SELECT project, url, CAST(depth AS INTEGER) AS depth, status, CASE WHEN status = 'failed' THEN CASE WHEN there THEN 'HTTP 500' ELSE 'not found' END END AS error_message, CASE WHEN status <> 'queued' THEN CAST(coalesce(tried, 0) AS INTEGER) ELSE 0 END AS tried FROM c""",
+    "site_progress": _SITES + " SELECT project, CAST(count_if(status = 'crawled') AS BIGINT) AS pages_crawled, CAST(count_if(status = 'failed') AS BIGINT) AS pages_failed, CAST(count_if(status <> 'failed') AS BIGINT) AS total_pages_found FROM c GROUP BY project",
+    "sql_entities": _kind_sql("service"),
+    "page_markup": """
+        SELECT doc_id, source AS meta_description, lang AS meta_keywords, 'http://h.com/' || doc_id || '.png' AS image, lang AS alt, 'Doc ' || doc_id AS og_title, source AS ld_name, 'http://schema.org/Product' AS item_type, 'P' || n_chars AS item_name
+        FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL""",
+    "entity_stream": f"""
+        WITH o AS (SELECT doc_id, source AS project, unnest([{_sql_pick(OFFERS, "doc_id")}, text, {_sql_pick(OFFERS, "n_chars")}]) AS text FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL),
+        f AS ({" UNION ALL ".join(f"SELECT doc_id, project, trim(unnest(regexp_extract_all(text, '(?i){p}'))) AS value FROM o" for p, _ in rules.ENTITY_PATTERNS["price"])}), n AS (SELECT DISTINCT project, doc_id, {_NORMAL} AS v FROM f)
+        SELECT project, count(DISTINCT v) AS n_entities, count(*) AS n_finds FROM n GROUP BY project""",
+    "importance_score": f"""
+        WITH d AS (SELECT doc_id, text, CASE WHEN regexp_matches({_WORDS}, '\\b[A-Z][a-z]+\\b') THEN 0.05 ELSE 0 END + CASE WHEN regexp_matches(text, '\\$[0-9]+|[0-9]+%|[0-9]+\\.[0-9]+') THEN 0.1 ELSE 0 END AS s FROM documents)
+        SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN {rules.FIELD_SCORES["title"]} ELSE round(least({rules.FIELD_SCORES["title"]} + CASE WHEN length(text) < 100 THEN 0.1 ELSE 0 END + s, 1), 6) END::DOUBLE AS as_title,
+            CASE WHEN coalesce(text, '') = '' THEN {rules.FIELD_SCORES["content_main"]} ELSE round(least({rules.FIELD_SCORES["content_main"]} + s, 1), 6) END::DOUBLE AS as_main FROM d""",
     "page_links": r"""
         WITH l AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>[^<]*\S', 1)) AS h FROM pages)
         SELECT page_id, count(*) AS n_links, CAST(count_if(NOT regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:|^//') OR regexp_extract(h, '^(?:[A-Za-z]+:)?//([^/?#]*)', 1) = host) AS BIGINT) AS n_internal FROM l GROUP BY page_id""",

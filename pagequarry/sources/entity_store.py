@@ -14,8 +14,9 @@ from pyspark.sql.types import StructType
 from pagequarry.functions.text import normalize_value
 from pagequarry.sources.tables import settled
 
-#: A project's entities lie in KEYS folders of PROJECTS * KEYS.
-PROJECTS, KEYS, TASKS = 64, 8, 16
+#: A project's entities lie in KEYS folders of PROJECTS * KEYS; a store keeps to one choice of these. A folder has a file for each FILE_ROWS rows of
+#: an upsert, FILES at most.
+PROJECTS, KEYS, FILE_ROWS, FILES = 16, 4, 1_000_000, 64
 KEY = ["project", "entity_type", "normalized_value"]
 SCHEMA = "project string, entity_type string, normalized_value string, value string, confidence double, context string, frequency long, first_run string, last_run string, entity_id string, first_ord array<bigint>, best_ord array<bigint>"
 
@@ -84,8 +85,9 @@ def gathered(found: DataFrame) -> DataFrame:
 def _replace(spark: SparkSession, path: str, ready: str) -> None:
     """Put the folders that ``ready`` holds in the place of the table's, then drop ``ready``."""
     rows = spark.read.schema(f"{SCHEMA}, part int").parquet(ready)
-    # A folder's rows are written by several tasks: one project may hold a third of all.
-    rows.repartition("part", F.pmod(F.xxhash64("normalized_value"), F.lit(TASKS))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{path}/entities")
+    # A folder's rows are written by several tasks if they are many: one project may hold a third of all.
+    files = max(1, min(FILES, rows.count() // FILE_ROWS))
+    rows.repartition("part", F.pmod(F.xxhash64("normalized_value"), F.lit(files))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{path}/entities")
     at = spark._jvm.org.apache.hadoop.fs.Path(ready)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 

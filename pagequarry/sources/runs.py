@@ -46,7 +46,7 @@ def current(rows: DataFrame) -> DataFrame:
     order = F.struct("attempt", rank, "at")
     last = lambda c: F.max_by(F.when(F.col(c).isNotNull(), F.struct("attempt", c)), F.when(F.col(c).isNotNull(), order)).alias(f"last_{c}")
     told = ("pages_crawled", "pages_failed", "total_pages_found", "entities_found", "pages_processed", "current_url", "error_message")
-    began = F.max(F.when(F.col("status") == "running", F.struct("attempt", (-F.unix_micros("at")).alias("early"), "at")))
+    began = F.max(F.when(F.col("status") == "running", F.struct("attempt", (-F.unix_micros(F.col("at").cast("timestamp"))).alias("early"), "at")))
     one = rows.groupBy("kind", "project", "job_id").agg(
         F.max("attempt").alias("attempt"), F.max_by("status", order).alias("status"), F.max_by("at", order).alias("last_at"), F.min("at").alias("created_at"),
         began.alias("began"), F.max_by("base_url", F.when(F.col("base_url").isNotNull(), order)).alias("base_url"), F.max_by("settings", F.when(F.col("settings").isNotNull(), order)).alias("settings"), *map(last, told),
