@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 from pagequarry.functions.rules import BASE_CONFIDENCE, ENTITY_PATTERNS, FIELD_BONUS, HINTS, NAME_PHRASES, NAMED_FIELD_BONUS, NAMED_PRODUCT, PRICE_PHRASES, RULER
 from pagequarry.functions.text import clean, heading_text, normalize_value, similarity, strip, words
+from pagequarry.operators import tagger
 from pagequarry.sources.tables import settled, stored, unused
 
 #: The fields of a page that are searched, in order.
@@ -297,20 +298,26 @@ def ruled(df: DataFrame, column: str = "text") -> DataFrame:
     return rows.select(*keep, F.explode(F.concat(*found)).alias(r)).select(*keep, f"{r}.*")
 
 
-def extracted(pages: DataFrame, least: float = 0.5, kinds: tuple[str, ...] = tuple(ENTITY_PATTERNS)) -> DataFrame:
-    """A page's entities by rules over words, first, and by patterns, the best of each value and type.
+def extracted(pages: DataFrame, least: float = 0.5, kinds: tuple[str, ...] = tuple(ENTITY_PATTERNS), model=None) -> DataFrame:
+    """A page's entities by names, first, and by patterns, the best of each value and type.
 
-    ``pages(project, page_id, title, meta_description, content_text, headings)``. Of the rules only those
-    for products count. The finds carry ``ord``, their order in the project.
+    ``pages(project, page_id, title, meta_description, content_text, headings)``. Names are what a ``model`` of
+    ``operators.tagger`` finds or, without one, the rules for products. The finds carry ``ord``, their order in the project.
     """
     by_pattern = from_pages(pages, least, kinds).withColumns({"engine": F.lit(1), "kind": F.array_position(F.array(*map(F.lit, ENTITY_PATTERNS)), F.col("entity_type"))})
     keep = [c for c in pages.columns if c not in FIELDS]
     columns = [*keep, "field", "field_ord", "engine", "kind", "pattern", "entity_type", "start", "value", "confidence", "context"]
     found = by_pattern.select(*columns)
     for i, name in enumerate(FIELDS):
-        named = named_products(pages.select(*keep, _field(pages, name).alias("text")).filter(F.col("text").isNotNull()), field=name).filter(F.col("confidence") >= least)
-        extra = {"field": F.lit(name), "field_ord": F.lit(i), "engine": F.lit(0), "kind": F.lit(0).cast("long"), "pattern": F.lit(0), "context": F.col("value")}
-        found = found.unionByName(named.withColumns(extra).select(*columns)) if "product" in kinds else found
+        texts = pages.select(*keep, _field(pages, name).alias("text")).filter(F.col("text").isNotNull())
+        if model is not None:
+            named = tagger.named(texts, model, field=name, least=least).filter(F.col("entity_type").isin(*kinds))
+        elif "product" in kinds:
+            named = named_products(texts, field=name).filter(F.col("confidence") >= least).withColumn("context", F.col("value"))
+        else:
+            continue
+        extra = {"field": F.lit(name), "field_ord": F.lit(i), "engine": F.lit(0), "kind": F.lit(0).cast("long"), "pattern": F.lit(0)}
+        found = found.unionByName(named.withColumns(extra).select(*columns))
     order = F.struct("page_id", "field_ord", "engine", "kind", "pattern", "start")
     return best_per_page(found.withColumn("ord", order), "page_id")
 

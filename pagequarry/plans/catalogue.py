@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.functions import rules, sql, text, urls
-from pagequarry.operators import classify, crawl, entities, jobs
+from pagequarry.operators import classify, crawl, entities, jobs, tagger
 from pagequarry.operators.html import parse_pages
 from pagequarry.sources import entity_store as stores
 from pagequarry.sources import runs, tables
@@ -309,6 +309,15 @@ def ruled_entities(spark: SparkSession, d: str) -> DataFrame:
     return entities.ruled(_offers(spark, d)).select("doc_id", "rule", "label", "value")
 
 
+def tagged_entities(spark: SparkSession, d: str) -> DataFrame:
+    """All types by the trained tagger and the patterns together, the best of each value and type on a page; the tagger is fitted on the same texts."""
+    texts = _offers(spark, d)
+    model = tagger.fit(texts)
+    pages = texts.select(F.lit("p").alias("project"), F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("meta_description"), F.col("text").alias("content_text"), F.lit(None).cast("array<string>").alias("headings"))
+    found = entities.extracted(pages, model=model)
+    return found.select(F.col("page_id").alias("doc_id"), "entity_type", "normalized_value", "value", "engine", F.round("confidence", 6).alias("confidence"))
+
+
 # Stored entities and jobs; folders for them are made in the shared folder.
 
 
@@ -434,7 +443,7 @@ QUERIES = {
         url_normalize, url_filter, url_validate, page_title, page_links, page_content, page_classes, page_classify, page_scores, pages_by_type, content_metrics, text_clean, text_split,
         importance_score, entity_values, entity_store, entity_stats, confidence_distribution, entities_page, entity_relations, relation_delete, entities_dedup, prices, product_names, latest_job, active_jobs, content_page,
         page_entities, named_products, structured_text, category_labels, crawl_pages, crawl_progress, finished_jobs, page_categories, site_check, robots_rules, extraction_job, ruled_entities,
-        entity_upsert, entity_overview, entity_pages, relation_ranges, cascade_delete, job_current, site_crawl, site_progress, sql_entities, page_markup, entity_stream,
+        entity_upsert, entity_overview, entity_pages, relation_ranges, cascade_delete, job_current, site_crawl, site_progress, sql_entities, page_markup, entity_stream, tagged_entities,
     )
 } | {f"entities_{k}": _of_kind(k) for k in rules.ENTITY_PATTERNS}
 
