@@ -655,6 +655,9 @@ ORACLE_SQL: dict[str, str] = {
         WITH d AS (SELECT doc_id, text, CASE WHEN regexp_matches({_WORDS}, '\\b[A-Z][a-z]+\\b') THEN 0.05 ELSE 0 END + CASE WHEN regexp_matches(text, '\\$[0-9]+|[0-9]+%|[0-9]+\\.[0-9]+') THEN 0.1 ELSE 0 END AS s FROM documents)
         SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN {rules.FIELD_SCORES["title"]} ELSE round(least({rules.FIELD_SCORES["title"]} + CASE WHEN length(text) < 100 THEN 0.1 ELSE 0 END + s, 1), 6) END::DOUBLE AS as_title,
             CASE WHEN coalesce(text, '') = '' THEN {rules.FIELD_SCORES["content_main"]} ELSE round(least({rules.FIELD_SCORES["content_main"]} + s, 1), 6) END::DOUBLE AS as_main FROM d""",
+    "product_names": f"WITH o AS ({_OFFERS}), f AS (" + " UNION ALL ".join(f"SELECT doc_id, trim(unnest(regexp_extract_all(text, '{p}', 0))) AS value, trim(unnest(regexp_extract_all(text, '{p}', 1))) AS core_name, '{k}' AS subtype FROM o" for p, k in rules.NAME_PHRASES) + ") SELECT doc_id, value, core_name, subtype, 0.7::DOUBLE AS confidence FROM f WHERE length(core_name) > 2",
+    # No rule has a letter beyond ASCII; such letters count as parts of words here.
+    "entities_brand": f"WITH t AS ({_OFFERS}), o AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[^\\x00-\\x7F®™\\p{{L}}\\p{{M}}\\p{{N}}]', ' ', 'g'), '[^\\x00-\\x7F®™]', '_', 'g') AS text FROM t) " + " UNION ALL ".join(f"SELECT doc_id, {n} AS pattern, trim(unnest(regexp_extract_all(text, '(?i){p}'))) AS value, round({0.6 + c!r}::DOUBLE, 6) AS confidence FROM o" for n, (p, c) in enumerate(rules.ENTITY_PATTERNS["brand"])),
     "page_links": r"""
         WITH l AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>[^<]*\S', 1)) AS h FROM pages)
         SELECT page_id, count(*) AS n_links, CAST(count_if(NOT regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:|^//') OR regexp_extract(h, '^(?:[A-Za-z]+:)?//([^/?#]*)', 1) = host) AS BIGINT) AS n_internal FROM l GROUP BY page_id""",

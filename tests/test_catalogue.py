@@ -166,6 +166,7 @@ def test_cleaning_and_metrics_by_fixed_values(spark):
         "caf&eacute;  &#65;": "café A",
         "&amp;lt;b&amp;gt;": "<b>",
         "a < b > c <!-- x --> d": "a < b > c d",
+        "x<script>var a = '<p>';</script> y <STYLE type='q'>p{}</STYLE > z &lt;script&gt;n": "x y z",
         "\tHome\n": "",
         "About": "",
         None: "",
@@ -188,6 +189,16 @@ def test_unicode_words_in_patterns(spark):
     assert got == want and any(v.startswith("Über Software") for *_, v in got)
 
 
+def test_phrases_with_letters_of_all_kinds(spark):
+    t = "Größe: $5 and Café: $7, Starting at $9 per année. Épicerie Suite, Über Platform v2"
+    df = spark.createDataFrame([(t,)], "text string")
+    assert {(r.value, r.subtype) for r in entities.prices(df).collect()} == {(m[0].strip(), k) for p, k, _ in rules.PRICE_PHRASES for m in re.finditer(p, t, re.IGNORECASE)}
+    assert {(r.value, r.core_name) for r in entities.product_names(df).collect()} == {(m[0].strip(), m[1].strip()) for p, _ in rules.NAME_PHRASES for m in re.finditer(p, t) if len(m[1].strip()) > 2}
+    spaces = "".join(chr(c) for c in range(0x3100) if chr(c).isspace())
+    one = spark.createDataFrame([(f"{spaces}a{spaces}b\u200b{spaces}",)], "t string").select(text.strip("t").alias("s"), text.words("t").alias("w")).first()
+    assert one.s == f"a{spaces}b\u200b" and one.w == ["a", "b\u200b"]
+
+
 def test_hints_name_what_every_match_holds():
     rng = random.Random(6)
     bits = [h for ps in rules.HINTS.values() for hs in ps for h in hs] + ["Services", "in", "Berlin", ", DE 12345", "12", "Main", "Street", "$5", "off", " ", "v.", "2.0", "x"]
