@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagequarry.functions.rules import SKIPPED_SUFFIXES
+from pagequarry.functions.rules import FORM_ADDRESS, NO_ADDRESS, NO_DOMAIN, NO_FORMAT, NOT_VALID, SITE_DOMAIN, SKIPPED_SUFFIXES
 from pagequarry.functions.text import strip
 
 # scheme, authority, path, query, fragment
@@ -74,12 +74,12 @@ def site(url: Column | str) -> Column:
     full = F.when(v.rlike("^https?://"), v).otherwise(F.concat(F.lit("https://"), v))
     domain = F.lower(F.split_part(part(full, 2), F.lit(":"), F.lit(1)))
     refused = v.rlike(r"^https?://$") | v.rlike("^[a-zA-Z]+$") | v.rlike(r"\.{2,}") | v.startswith("ftp://")
-    sound = domain.rlike(r"^[a-zA-Z0-9]([a-zA-Z0-9.-]*[a-zA-Z0-9])?$") & ((domain == "localhost") | domain.contains("."))
+    sound = domain.rlike(SITE_DOMAIN) & ((domain == "localhost") | domain.contains("."))
     error = (
-        F.when(F.coalesce(v, F.lit("")) == "", "URL is required")
-        .when(refused, "Please enter a valid website URL")
-        .when(F.coalesce(part(full, 2), F.lit("")) == "", "Invalid URL format")
-        .when(~sound, "Invalid domain format")
+        F.when(F.coalesce(v, F.lit("")) == "", NO_ADDRESS)
+        .when(refused, NOT_VALID)
+        .when(F.coalesce(part(full, 2), F.lit("")) == "", NO_FORMAT)
+        .when(~sound, NO_DOMAIN)
     )
     return F.struct(F.when(error.isNull(), full).alias("url"), error.alias("error"))
 
@@ -93,5 +93,5 @@ def form_error(url: Column | str) -> Column:
     """Why an entry form refuses a site address, else null; stricter than ``site``: a top domain of up to six characters."""
     url = F.col(url) if isinstance(url, str) else url
     full = F.when(F.rlike(url, F.lit("^https?://")), url).otherwise(F.concat(F.lit("https://"), url))
-    sound = full.rlike(r"^https?://(www\.)?[-a-zA-Z0-9@:%._+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b([-a-zA-Z0-9()@:%_+.~#?&/=]*)$")
-    return F.when(F.coalesce(strip(url), F.lit("")) == "", "URL is required").when(~sound, "Please enter a valid website URL")
+    sound = full.rlike(FORM_ADDRESS)
+    return F.when(F.coalesce(strip(url), F.lit("")) == "", NO_ADDRESS).when(~sound, NOT_VALID)

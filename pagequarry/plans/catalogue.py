@@ -107,7 +107,9 @@ def pages_by_type(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_categories(spark: SparkSession, d: str) -> DataFrame:
-    return text.categories(spark)
+    """Each type a page can have, with the pages that have it."""
+    n = tables.settled(page_classify(spark, d).select("page_type")).groupBy("page_type").agg(F.count("*").alias("n"))
+    return text.categories(spark).join(n, "page_type", "left").select("page_type", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def site_check(spark: SparkSession, d: str) -> DataFrame:
@@ -259,7 +261,10 @@ ROBOTS = f"User-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /p/{REFUSED}0
 
 
 def robots_rules(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "pages").select(F.concat(F.lit("h"), "page_id").alias("host"), _pick([ROBOTS, "", "User-agent: quarrybot\nDisallow: /x y\n\nUser-agent: *\nDisallow: /z"], "page_id").alias("text"))
+    """The files of three kinds, and of a fourth that is made from the page's own path."""
+    own = F.concat(F.lit("User-agent: *\nAllow: "), urls.path("url"), F.lit("\nDisallow: /a "), "page_id")
+    fixed = _pick([ROBOTS, "", "User-agent: quarrybot\nDisallow: /x y\n\nUser-agent: *\nDisallow: /z", ""], "page_id")
+    files = table(spark, d, "pages").select(F.concat(F.lit("h"), "page_id").alias("host"), F.when(F.col("page_id") % 4 == 3, own).otherwise(fixed).alias("text"))
     return crawl.robots_rules(files, AGENT)
 
 
@@ -557,16 +562,17 @@ ORACLE_SQL: dict[str, str] = {
     "page_classify": _CLASSIFIED,
     "page_scores": f"SELECT page_id, {', '.join(f'round({k}_score, 6) AS {k}_score' for k in rules.URL_RULES)} FROM ({_SCORED})",
     "pages_by_type": f"SELECT page_id % 3 AS project, page_type, count(*) AS n FROM ({_CLASSIFIED}) WHERE page_id % 7 <> 0 GROUP BY ALL",
-    "page_categories": f"SELECT unnest(['{"', '".join(rules.URL_RULES)}']) AS page_type",
+    "page_categories": f"SELECT c.page_type, count(p.page_id) AS n FROM (SELECT unnest(['{"', '".join(rules.URL_RULES)}']) AS page_type) c LEFT JOIN ({_CLASSIFIED}) p USING (page_type) GROUP BY c.page_type",
     "site_check": f"""
         WITH t AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS u FROM pages), k AS (SELECT page_id, u, CASE WHEN page_id % 9 = 0 THEN 10 + page_id % 4 ELSE page_id % 5 END AS k FROM t)
         SELECT page_id, CASE k WHEN 0 THEN 'https://' || u WHEN 3 THEN 'https://' || u WHEN 4 THEN 'http://' || u END AS url,
             CASE k WHEN 1 THEN 'Please enter a valid website URL' WHEN 2 THEN 'Please enter a valid website URL' WHEN 10 THEN 'URL is required' WHEN 11 THEN 'Please enter a valid website URL' WHEN 12 THEN 'Invalid domain format' WHEN 13 THEN 'Invalid domain format' END AS error,
             CASE WHEN k = 10 THEN 'URL is required' WHEN k IN (11, 12) THEN 'Please enter a valid website URL' WHEN k = 13 THEN NULL WHEN k IN (1, 3) OR page_id % 2 = 1 OR NOT regexp_matches(u, '^[^/]+[-a-zA-Z0-9()@:%_+.~#?&/=]*$') THEN 'Please enter a valid website URL' END AS form_error FROM k""",
     "robots_rules": f"""
-        WITH k AS (SELECT 'h' || page_id AS host, page_id % 3 AS k FROM pages)
+        WITH k AS (SELECT 'h' || page_id AS host, page_id % 4 AS k, page_id, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)
         SELECT host, '/p/{REFUSED}0' AS prefix, TRUE AS allow, 0 AS ord FROM k WHERE k = 0 UNION ALL SELECT host, '/p/{REFUSED}', FALSE, 1 FROM k WHERE k = 0
-        UNION ALL SELECT host, '', TRUE, 2 FROM k WHERE k = 0 UNION ALL SELECT host, '/x%20y', FALSE, 0 FROM k WHERE k = 2""",
+        UNION ALL SELECT host, '', TRUE, 2 FROM k WHERE k = 0 UNION ALL SELECT host, '/x%20y', FALSE, 0 FROM k WHERE k = 2
+        UNION ALL SELECT host, path, TRUE, 0 FROM k WHERE k = 3 UNION ALL SELECT host, '/a%20' || page_id, FALSE, 1 FROM k WHERE k = 3""",
     "extraction_job": f"""
         WITH o AS (SELECT doc_id, source AS project, unnest([{_sql_pick(OFFERS, "doc_id")}, text, {_sql_pick(OFFERS, "n_chars")}]) AS text FROM documents WHERE doc_id % 10 <> 3),
         f AS ({" UNION ALL ".join(f"SELECT doc_id, project, trim(unnest(regexp_extract_all(text, '(?i){p}'))) AS value FROM o" for p, _ in rules.ENTITY_PATTERNS["price"])}),

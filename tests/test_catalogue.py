@@ -24,7 +24,7 @@ def canon(df):
 @pytest.fixture(scope="session")
 def duck():
     c = duckdb.connect()
-    for t in ("pages", "documents", "part", "events", "customer", "lineitem"):
+    for t in ("pages", "documents", "part", "events", "customer", "lineitem", "region", "nation", "supplier", "orders"):
         c.sql(f"create view {t} as select * from '{D}/{t}.parquet'")
     return c
 
