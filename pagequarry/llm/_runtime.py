@@ -2,37 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate results.
-
-    A cluster names it in ``spark.checkpoint.dir``. Only a session without that setting
-    (local tests) gets a folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if spark.sparkContext.getCheckpointDir() is None:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("name a shared folder in spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagequarry-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """Column names like ``names`` that ``df`` does not have, whatever their case."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        out.append(name)
-    return out
+from pyspark.sql import DataFrame
+
+from pagequarry.sources.tables import shared_dir, unused
+
+__all__ = ["cut", "shared_dir", "stage", "unused"]
 
 
 def cut(df: DataFrame) -> DataFrame:
