@@ -297,3 +297,15 @@ def test_crawl_in_parts_reads_the_same(spark, monkeypatch):
     many = {tuple(r) for r in crawl.crawl(have, links, seeds, max_pages=9, queue=True).collect()}
     monkeypatch.setattr(crawl, "PART_ROWS", 10**6)
     assert many == {tuple(r) for r in crawl.crawl(have, links, seeds, max_pages=9, queue=True).collect()} and len(many) > 80
+
+
+def test_a_cut_reference_in_a_title_is_as_in_sql(spark, duck, tmp_path):
+    """A title cut inside a character reference; whole references are resolved, and what they spell is not resolved again."""
+    rows = [(1, "http://h/", "<title>a &amp;&amp;&amp</title><h1>x</h1>"), (2, "http://h/", "<title>&lt;b&gt; &amp;lt; &quot</title>"), (3, "http://h/", "<title>R & D</title>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = QUERIES["page_title"](spark, str(tmp_path)).toPandas()
+    assert canon(got) == canon(con.sql(ORACLE_SQL["page_title"]).df())
+    assert dict(zip(got.page_id, got.title, strict=True)) == {1: "a &&&amp", 2: "<b> &lt; &quot", 3: "R & D"}
+    assert parse("<title>a &amp</title>", "http://h/")["title"] == "a &"
