@@ -309,3 +309,30 @@ def test_a_cut_reference_in_a_title_is_as_in_sql(spark, duck, tmp_path):
     assert canon(got) == canon(con.sql(ORACLE_SQL["page_title"]).df())
     assert dict(zip(got.page_id, got.title, strict=True)) == {1: "a &&&amp", 2: "<b> &lt; &quot", 3: "R & D"}
     assert parse("<title>a &amp</title>", "http://h/")["title"] == "a &"
+
+
+def test_parsed_pages_go_on_in_slices(spark):
+    """A batch's pages are passed on a few at a time, in order, with nothing lost."""
+    from pagequarry.operators.html import SLICE
+
+    n = SLICE * 3 + 5
+    pages = spark.range(0, n, 1, 1).selectExpr("id as page_id", "'http://h/' as url", "concat('<title>t', id, '</title>') as html")
+    parsed = parse_pages(pages)
+    sizes = parsed.select("page_id", "title").mapInArrow(lambda bs: (b for b in bs), "page_id long, title string").toPandas()
+    assert list(sizes.title) == [f"t{i}" for i in range(n)]
+    func = pages.mapInArrow  # the batches that the parser itself yields
+    import pyarrow as pa
+
+    class Pages:
+        """Catches the parser's function."""
+
+        columns, sparkSession, select = pages.columns, pages.sparkSession, lambda self, *c: self if len(c) == 3 else pages.select(*c)
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return func(lambda bs: bs, pages.schema).selectExpr("cast(array() as array<string>) as json_ld")
+
+    caught = Pages()
+    parse_pages(caught)
+    batch = pa.RecordBatch.from_pylist([{"page_id": i, "url": "http://h/", "html": f"<title>t{i}</title>"} for i in range(n)])
+    assert [b.num_rows for b in caught.run(iter([batch]))] == [SLICE] * 3 + [5]
