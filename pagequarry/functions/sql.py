@@ -24,14 +24,14 @@ SCALARS = {
 }
 
 
-def finds(text: str, field: str, least: float) -> list[tuple]:
+def finds(text: str, field: str, least: float, ascii_words: bool = False) -> list[tuple]:
     """``(entity_type, pattern, start, value, confidence, context)`` of a text's matches, as ``operators.entities.extract`` finds them."""
     low, out = text.lower().replace("ſ", "s"), []
     for kind, patterns in ENTITY_PATTERNS.items():
         for number, (pattern, bonus) in enumerate(patterns):
             confidence = BASE_CONFIDENCE + bonus + FIELD_BONUS.get(field, 0.0)
             if confidence >= least and any(h in low for h in HINTS[kind][number]):
-                for m in re.finditer(pattern, text, re.IGNORECASE):
+                for m in re.finditer(pattern, text, re.IGNORECASE | (re.ASCII if ascii_words else 0)):
                     around = text[max(0, m.start() - 50) : m.end() + 50]
                     out.append((kind, number, m.start(), m[0].strip(" "), min(confidence, 1.0), around.strip(" ")))
     return out
@@ -39,10 +39,10 @@ def finds(text: str, field: str, least: float) -> list[tuple]:
 
 @udtf(returnType="entity_type string, pattern int, start int, value string, confidence double, context string", useArrow=True)
 class ExtractEntities:
-    """``extract_entities(text, field, least)``: the matches of the entity patterns in a text, for use after LATERAL; none for null."""
+    """``extract_entities(text, field, least, ascii_words)``: the matches of the entity patterns in a text, for use after LATERAL; none for null. The last may be left out."""
 
-    def eval(self, text: str, field: str, least: float):
-        yield from finds(text or "", field or "content_text", 0.5 if least is None else float(least))
+    def eval(self, text: str, field: str, least: float, ascii_words: bool = False):
+        yield from finds(text or "", field or "content_text", 0.5 if least is None else float(least), bool(ascii_words))
 
 
 def register(spark: SparkSession) -> None:

@@ -12,7 +12,7 @@ from pagequarry.sources import entity_store
 PAGES = "project string, page_id long, crawled_at timestamp, title string, meta_description string, content_text string, headings array<string>"
 
 
-def merge(spark: SparkSession, stream: DataFrame, store: str, checkpoint: str, delay: str = "1 day", least: float = 0.5, kinds: tuple[str, ...] = tuple(ENTITY_PATTERNS)) -> StreamingQuery:
+def merge(spark: SparkSession, stream: DataFrame, store: str, checkpoint: str, delay: str = "1 day", least: float = 0.5, kinds: tuple[str, ...] = tuple(ENTITY_PATTERNS), ascii_words: bool = False) -> StreamingQuery:
     """Extract the entities of ``stream(project, page_id, crawled_at, title, ...)`` and merge them into the store; one query writes a store.
 
     A page that comes again within ``delay`` of its first ``crawled_at`` counts once: its key is kept as state until the watermark has
@@ -22,7 +22,7 @@ def merge(spark: SparkSession, stream: DataFrame, store: str, checkpoint: str, d
     once = stream.withWatermark("crawled_at", delay).dropDuplicatesWithinWatermark(["project", "page_id"])
 
     def batch(pages: DataFrame, number: int) -> None:
-        found = extracted(pages.drop("crawled_at"), least, kinds)
+        found = extracted(pages.drop("crawled_at"), least, kinds, ascii_words=ascii_words)
         entity_store.upsert(pages.sparkSession, store, found.select("project", "entity_type", "value", "confidence", "context", "ord"), f"{checkpoint}#{number}")
 
     return once.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -336,3 +336,13 @@ def test_parsed_pages_go_on_in_slices(spark):
     parse_pages(caught)
     batch = pa.RecordBatch.from_pylist([{"page_id": i, "url": "http://h/", "html": f"<title>t{i}</title>"} for i in range(n)])
     assert [b.num_rows for b in caught.run(iter([batch]))] == [SLICE] * 3 + [5]
+
+
+def test_words_beside_letters_beyond_ascii_are_as_in_sql(spark, tmp_path):
+    """A house number before a word that goes on with such a letter, and the like for other types and fields."""
+    texts = ["3280 zuch stäb", "éweb development", "in 24/7é", "costs $50é and", "Data Analysisß", "a v2é", "Übased in Rome", "Fast\u000b x", None, ""]
+    spark.createDataFrame([(i, t, "en", "s", 5) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in [f"entities_{k}" for k in rules.ENTITY_PATTERNS] + ["page_entities", "sql_entities", "extraction_job"]:
+        assert canon(QUERIES[name](spark, str(tmp_path)).toPandas()) == canon(con.sql(ORACLE_SQL[name]).df()), name
