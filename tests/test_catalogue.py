@@ -317,9 +317,8 @@ def test_parsed_pages_go_on_in_slices(spark):
 
     n = SLICE * 3 + 5
     pages = spark.range(0, n, 1, 1).selectExpr("id as page_id", "'http://h/' as url", "concat('<title>t', id, '</title>') as html")
-    parsed = parse_pages(pages)
-    sizes = parsed.select("page_id", "title").mapInArrow(lambda bs: (b for b in bs), "page_id long, title string").toPandas()
-    assert list(sizes.title) == [f"t{i}" for i in range(n)]
+    rows = parse_pages(pages).select("page_id", "title").toPandas()
+    assert list(rows.title) == [f"t{i}" for i in range(n)]
     func = pages.mapInArrow  # the batches that the parser itself yields
     import pyarrow as pa
 
@@ -346,3 +345,26 @@ def test_words_beside_letters_beyond_ascii_are_as_in_sql(spark, tmp_path):
     con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     for name in [f"entities_{k}" for k in rules.ENTITY_PATTERNS] + ["page_entities", "sql_entities", "extraction_job"]:
         assert canon(QUERIES[name](spark, str(tmp_path)).toPandas()) == canon(con.sql(ORACLE_SQL[name]).df()), name
+
+
+def test_name_phrases_are_looked_for_near_their_ends_only(spark):
+    """As Python finds them in whole texts; a long text without an end is not searched from each of its capitals to its end."""
+    rng = random.Random(5)
+    bits = ["Acme", "the Omega", "Suite", "Framework", " v2.1", "Version 3", "v. 4", ".", ",", "|", "Basic Edition", "as a Service", "SaaS", "\n", "x", "É", "7"]
+    texts = [" ".join(rng.choices(bits, k=25)) for _ in range(150)] + ["", None]
+    got = sorted((r.id, r.value, r.core_name, r.subtype) for r in entities.product_names(spark.createDataFrame(list(enumerate(texts)), "id int, text string")).collect())
+    found = [(i, m[0].strip(" "), m[1].strip(" "), k) for i, t in enumerate(texts) if t for p, k in rules.NAME_PHRASES for m in re.finditer(p, t)]
+    assert got == sorted(x for x in found if len(x[2]) > 2) and len(got) > 50
+    near = [entities._near(F.split(F.lit("Ab " * 5000 + ". The Big Suite, Cd " * 2), entities._APART, -1), e) for e in rules.NAME_ENDS]
+    assert [r for r in spark.range(1).select(*near).first()] == ["", " The Big Suite| The Big Suite", "", ""]
+
+
+def test_cleaning_and_rules_skip_only_texts_without_their_words(spark):
+    """Removing one phrase can make another one, and hints name what every match of a rule holds."""
+    texts = ["Cookie Privacy PolicyPolicy x", "loLogingin", "Copyright 2020 x\ny", "  a  b ", "regİster", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.c for r in df.select(text.clean("t").alias("c")).collect()] == ["x", "login", "", "a b", "regİster", "", ""]
+    rows = [(i, h) for i, hs in enumerate(rules.RULER_HINTS) for h in hs]
+    words = spark.createDataFrame([(i, f"Acme{h} one" if h.startswith(" ") else f"web {h} one") for i, h in rows], "id int, text string")
+    got = {(r.id, r.rule) for r in entities.ruled(words).collect()}
+    assert {(i, i) for i in range(len(rules.RULER))} <= got
