@@ -55,3 +55,19 @@ def test_without_words_and_all_types_together(spark):
     got = entities.extracted(page, model=model)
     assert {r.entity_type for r in got.collect()} == {"brand", "product", "price", "location", "service", "feature"} and got.groupBy("normalized_value", "entity_type").count().filter("count > 1").isEmpty()
     assert got.filter(F.col("engine") == 0).count() > 0
+
+
+def test_many_sentences_at_once_are_tagged_as_one_by_one():
+    """The table gives the tags that decoding each sentence gives, in odd texts too."""
+    from pagequarry.plans.catalogue import OFFERS
+
+    model = tagger.learn([s for o in OFFERS for s in o.split(". ")] * 3 + ["a | b", "| | x"])
+    texts = [*OFFERS, "", None, "|", "a | b || c |", "Acme Inc\n\nPro | v2. Z", "one " * 1000, "ſK İ é", "a.b.c. d! e? Omega Suite"]
+    table = tagger.Table(model)
+    for t in filter(None, texts):
+        at = tagger.tokens(t)
+        ws, begins = [t[a:b] for a, b in at], tagger.segments(t, at)
+        want = [x for a, b in zip(begins, [*begins[1:], len(ws)], strict=True) for x in model.decode(tagger.features(ws[a:b]))]
+        assert table.decode(ws, begins).tolist() == want
+    assert list(table.spans(texts)) == [model.spans(t) if t else [] for t in texts]
+    assert any(table.spans(texts))
