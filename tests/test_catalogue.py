@@ -365,6 +365,21 @@ def test_cleaning_and_rules_skip_only_texts_without_their_words(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r.c for r in df.select(text.clean("t").alias("c")).collect()] == ["x", "login", "", "a b", "regİster", "", ""]
     rows = [(i, h) for i, hs in enumerate(rules.RULER_HINTS) for h in hs]
-    words = spark.createDataFrame([(i, f"Acme{h} one" if h.startswith(" ") else f"web {h} one") for i, h in rows], "id int, text string")
+    words = spark.createDataFrame([(i, f"Web{h} one" if h.startswith(" ") else f"web {h} one") for i, h in rows], "id int, text string")
     got = {(r.id, r.rule) for r in entities.ruled(words).collect()}
     assert {(i, i) for i in range(len(rules.RULER))} <= got
+
+
+def test_a_larger_stream_comes_in_more_files(spark, duck, monkeypatch):
+    """No file holds a fixed share of the input, and the store is the same."""
+    from pyspark.sql import DataFrameWriter
+
+    from pagequarry.plans import catalogue
+
+    monkeypatch.setattr(catalogue, "FILE_BYTES", 100_000)
+    folders, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (folders.append(path), write(self, path, *a, **k))[1])
+    got = QUERIES["entity_stream"](spark, D).toPandas()
+    assert canon(got) == canon(duck.sql(ORACLE_SQL["entity_stream"]).df())
+    pages = next(p for p in folders if "/pages-" in p)
+    assert len(spark.read.parquet(pages).inputFiles()) > 4
