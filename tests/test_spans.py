@@ -17,3 +17,10 @@ def test_spans_and_single_search(spark):
     found = entities.extract(df, kinds=("price",))
     assert {(r.pattern, r.value) for r in found.collect()} >= {(2, "Pro: $7.50"), (4, "Save: $5")}
     assert "RLIKE" not in found._jdf.queryExecution().optimizedPlan().toString().upper()
+
+
+def test_spans_of_a_text_that_python_cleans(spark):
+    """The cleaned text comes from a Python function; the finds lie where the cleaned text has them."""
+    texts = ["<b>The Delta</b> Suite &amp; more", "The Delta Suite", "", None]
+    got = entities.named_products(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"))
+    assert [(r.i, r.start, r.value) for r in got.orderBy("i").collect()] == [(0, 4, "Delta Suite"), (1, 4, "Delta Suite")]
