@@ -195,8 +195,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, length: int = LE
             return _batch(out)
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 128):
+                b = whole.slice(at, 128)
                 texts = [t or "" for t in b.column("text").to_pylist()]
                 for doc, ids in zip(b.column("doc_id").to_pylist(), words.ids(texts), strict=True):
                     packer.add(doc, np.append(ids, np.uint32(end_id)))
